@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import lm, packing, quality_rules, simhash, topk
+from turnloom.llm import chatfmt, classifier, lm, packing, quality_rules, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,13 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chatfmt.digests(chatfmt.format_conversations(turns.withColumn("parts", chatfmt.text_parts(F.col("text")))))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(_table(spark, sf_dir, "documents"))
 
@@ -41,8 +48,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = classifier.train(docs, classifier.graded(_table(spark, sf_dir, "labels")))
+    return classifier.scored(docs, model)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op3_exact_topk, op8_lm_score, op9_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op3_exact_topk, op7_chat_format, op8_lm_score, op9_packing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
