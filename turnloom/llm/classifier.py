@@ -162,7 +162,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     return fit([np.frombuffer(x, dtype=np.int32) for x in rows["f"].to_pylist()], rows["grade"].to_numpy().astype(np.int64), buckets)
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.25) -> DataFrame:
     """The id, expected_grade, tail_probability (of the top grade) and kept (tail_probability >= least) of every document.
 
     Null and empty texts score as texts without features; repeated rows stay; an empty table gives an empty one.
