@@ -128,7 +128,7 @@ def score_documents(
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
     total = slim.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     chunks = max(1, math.ceil((total["b"] + 16 * total["n"]) / chunk_bytes))
-    parts = min(4096, max(8, chunks))
+    parts = max(8, chunks // 2)  # so a range has as many keys at any size of the table
     dealt = slim.withColumn("chunk", F.pmod(F.xxhash64("id", "t"), F.lit(chunks)).cast("int"))
 
     def ordered(t: pa.Table) -> pa.Table:
