@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.common import written
 
-#: Words whose ids a worker remembers, at about 200 bytes each; then it forgets all and starts anew.
+#: Words of a generation whose ids a worker remembers, at about 200 bytes each.
 _REMEMBERED = 400_000
+#: Marks that the tokenizer parts from a letter or digit before them.
+_MARKS = b".,;:!?%&$*#|"
 
 
 @lru_cache(maxsize=2)
@@ -32,34 +34,54 @@ def _tokenizer(path: str):
 
 
 class WordEncoder:
-    """Ids of whole texts for a tokenizer that drops white space and never joins across it.
+    """Ids of whole texts for a lower-casing tokenizer that drops white space and never joins across it.
 
-    Each distinct word is encoded once and remembered as packed little-endian ids. Anything but plain words, that is,
-    other white space or characters that compose with what precedes them, is part of a word here and goes to the
-    tokenizer as it is.
+    Each distinct word is encoded once and remembered as packed little-endian ids; a word that ends in plain marks is
+    looked up without them, as the tokenizer parts marks from what precedes them. What may be a special token, whose
+    letters' case counts, goes to the tokenizer as it is. Memory is two generations of words: when the younger is
+    full it becomes the older, so words in use stay.
     """
 
     def __init__(self, path: str) -> None:
-        self.path, self.known = path, {}
+        self.path, self.young, self.old = path, {}, {}
 
     def packed(self, text: bytes) -> bytes:
-        tokens = text.split()  # at the six ASCII white-space bytes only
-        known = self.known
-        new = [w for w in dict.fromkeys(tokens) if w not in known]
-        if new:
-            if len(known) + len(new) > _REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(tokens))
-            for w, e in zip(new, _tokenizer(self.path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, tokens))
+        tokens = text.split() if b"<|" in text else text.lower().split()  # at the six ASCII white-space bytes only
+        young = self.young
+        if new := [w for w in dict.fromkeys(tokens) if w not in young]:
+            self._learn(new)
+            if len(young) > _REMEMBERED:
+                self.old, self.young = young, {w: young[w] for w in dict.fromkeys(tokens)}
+        return b"".join(map(young.__getitem__, tokens))
+
+    def _learn(self, new: list[bytes]) -> None:
+        young, old = self.young, self.old
+        parts = {}
+        for w in new:
+            if w in old:
+                young[w] = old[w]
+            else:
+                core = w if b"<|" in w else w.rstrip(_MARKS)
+                parts[w] = (core, w[len(core) :]) if core else (w, b"")
+        ask = [x for x in dict.fromkeys(x for pair in parts.values() for x in pair) if x and x not in young and x not in old]
+        for x, e in zip(ask, _tokenizer(self.path).encode_batch_fast([x.decode() for x in ask], add_special_tokens=False), strict=True):
+            young[x] = np.array(e.ids, dtype="<u4").tobytes()
+        get = lambda x: young[x] if x in young else old[x] if x in old else b""  # noqa: E731  the empty end has no ids
+        for w, (core, marks) in parts.items():
+            young[w] = get(core) + get(marks)
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One for a worker process, over all its tasks."""
+    return WordEncoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document; see pack()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             out: list[tuple] = []
