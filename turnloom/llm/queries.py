@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import chatfmt, classifier, lm, packing, pii, quality_rules, simhash, topk, warc
+from turnloom.llm import chatfmt, classifier, lm, packing, pii, quality_rules, sentencepiece_ops, simhash, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_ops.sample_segmentations(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), k=2)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archived(_table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -64,7 +68,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op3_exact_topk, op5_warc, op6_pii, op7_chat_format, op8_lm_score, op9_packing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op3_exact_topk, op4_sentencepiece, op5_warc, op6_pii, op7_chat_format, op8_lm_score, op9_packing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
