@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.functions.arrays import let, runs
+from turnloom.functions.arrays import runs
 from turnloom.sources.vocabulary import Vocabulary
 
 POLICIES = ("ignore", "keep", "raise")
@@ -24,8 +24,8 @@ def policy_of(value: str | int) -> str:
 
 def byte_ids(text: Column, shift: int) -> Column:
     """Ids of a vocabulary of single bytes: the UTF-8 bytes, shifted."""
-    digits = F.hex(F.encode(text, "UTF-8"))
-    return let(digits, lambda h: F.when(F.length(h) > 0, F.transform(F.sequence(F.lit(1), F.length(h) - 1, F.lit(2)), lambda i: F.conv(F.substr(h, i, F.lit(2)), 16, 10).cast("int") + shift)).otherwise(F.array().cast("array<int>")))
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("[0-9A-F]{2}"), F.lit(0))
+    return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int") + shift)
 
 
 @lru_cache(maxsize=8)
