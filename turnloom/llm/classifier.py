@@ -140,7 +140,8 @@ def _lbfgs(loss, x: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
 def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, grade): 0 for low quality, 1 for good but toxic, 2 for good and clean. Null labels give no row; of several
     for one document the lowest grade counts."""
-    grade = F.when(F.col("quality") <= 0, 0).when(F.col("toxic") > 0, 1).when(F.col("toxic") <= 0, 2)
+    good = F.col("quality") > 0
+    grade = F.when(F.col("quality") <= 0, 0).when(good & (F.col("toxic") > 0), 1).when(good & (F.col("toxic") <= 0), 2)
     rows = labels.select(F.col(id_col).cast("long").alias("id"), grade.alias("grade"))
     return rows.filter("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade"))
 
@@ -162,32 +163,47 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     return fit([np.frombuffer(x, dtype=np.int32) for x in rows["f"].to_pylist()], rows["grade"].to_numpy().astype(np.int64), buckets)
 
 
+def _scores(texts: list, model: Model, known: dict, weight: list[float]) -> np.ndarray:
+    """P(grade > k) of every text by columns; one column of ones for a model that learned nothing."""
+    buckets, scores = len(weight), np.zeros(len(texts))
+    for i, t in enumerate(texts):
+        if len(known) > _REMEMBERED:
+            known.clear()
+        found: set = set()
+        for w in set(t.split()) if t else ():
+            f = known.get(w)
+            if f is None:
+                f = known[w] = tuple(x for x in word_features(w, buckets) if weight[x])
+            found.update(f)
+        scores[i] = sum(map(weight.__getitem__, sorted(found)))
+    return model.probabilities(scores) if len(model.thresholds) else np.ones((len(texts), 1))
+
+
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.25) -> DataFrame:
     """The id, expected_grade, tail_probability (of the top grade) and kept (tail_probability >= least) of every document.
 
     Null and empty texts score as texts without features; repeated rows stay; an empty table gives an empty one.
     """
-    buckets = len(model.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = model.weights.tolist()
-        known: dict = {}
+        weight, known = model.weights.tolist(), {}
         for b in batches:
-            scores = np.zeros(b.num_rows)
-            for i, t in enumerate(b.column(1).to_pylist()):
-                if len(known) > _REMEMBERED:
-                    known.clear()
-                found: set = set()
-                for w in set(t.split()) if t else ():
-                    f = known.get(w)
-                    if f is None:
-                        f = known[w] = tuple(x for x in word_features(w, buckets) if weight[x])
-                    found.update(f)
-                scores[i] = sum(map(weight.__getitem__, sorted(found)))
-            p = model.probabilities(scores)
-            tail = p[:, -1] if p.shape[1] else np.ones(b.num_rows)
-            cols = [b.column(0), pa.array(p.sum(axis=1)), pa.array(tail), pa.array(tail >= least)]
+            p = _scores(b.column(1).to_pylist(), model, known, weight)
+            cols = [b.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, -1]), pa.array(p[:, -1] >= least)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "expected_grade", "tail_probability", "kept"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
     return slim.mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, kept boolean")
+
+
+def selected(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.25) -> DataFrame:
+    """The rows of docs that scored() keeps, with all their columns, in one pass and without a join."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, known = model.weights.tolist(), {}
+        for b in batches:
+            p = _scores(b.column(at).cast(pa.binary()).to_pylist(), model, known, weight)
+            yield b.filter(pa.array(p[:, -1] >= least))
+
+    return docs.mapInArrow(run, docs.schema)

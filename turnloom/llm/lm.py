@@ -45,7 +45,7 @@ def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def _coded(values: np.ndarray) -> bytes:
     """Whole numbers by byte planes, so that the planes of zeros nearly vanish."""
-    plain = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    plain = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
     return zlib.compress(plain.tobytes(), 1)
 
 

@@ -172,15 +172,15 @@ def digests(found: DataFrame) -> DataFrame:
 def redacted(text: Column, base: Column, terms: Column, remove: float = 0.98) -> Column:
     """The text with identifiers replaced by their kind and telling terms by their kind of word, or by a gap mark.
 
-    Where spans overlap, the one that begins first is replaced, and what the others have beyond it goes too.
+    Where spans overlap, the one that begins first, then the longest, is replaced, and what others have beyond it goes too.
     """
     kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    marks = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(kinds, s["kind"]).alias("mark")))
+    marks = F.transform(base, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), F.get(kinds, s["kind"]).alias("mark")))
 
     def word(t: Column) -> Column:
         w = F.substr(text, (t["start"] + 1).cast("int"), (t["end"] - t["start"]).cast("int"))
         kind = F.when(w.rlike("[0-9]"), F.lit("[NUMBER]")).when(F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1)), F.lit("[NAME]")).otherwise(F.lit("[WORD]"))
-        return F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["share"] >= remove, F.lit("[REMOVED]")).otherwise(kind).alias("mark"))
+        return F.struct(t["start"].alias("start"), (-t["end"]).alias("minus_end"), F.when(t["share"] >= remove, F.lit("[REMOVED]")).otherwise(kind).alias("mark"))
 
     every = F.sort_array(F.concat(marks, F.transform(terms, word)))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
@@ -188,7 +188,7 @@ def redacted(text: Column, base: Column, terms: Column, remove: float = 0.98) ->
     def add(s: Column, x: Column) -> Column:
         between = F.substr(text, (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))
         out = F.when(x["start"] >= s["at"], F.concat(s["out"], F.array(between, x["mark"]))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
+        return F.struct(F.greatest(s["at"], -x["minus_end"]).alias("at"), out.alias("out"))
 
     done = F.aggregate(every, start, add, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, (s["at"] + 1).cast("int"), F.length(text))))
     return F.when(F.size(base) > 0, done).otherwise(text)
