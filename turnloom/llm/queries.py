@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,5 +73,31 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op3_exact_topk, op4_sentencepiece, op5_warc, op6_pii, op7_chat_format, op8_lm_score, op9_packing, op10_quality_classifier)}
 
 
+_OP3 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+SELECT query_id, place::INTEGER AS rank, vec_id, score FROM r WHERE place <= 20"""
+
+_OP5 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT page_id, h, min(page_id) OVER (PARTITION BY h) AS first, sha1(h) AS d FROM p)
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
+  list_reduce(list_transform(range(8), lambda i: list_reduce(list_transform([15, 10, 5, 0], lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(d, 5 * i + 1, 5))::INTEGER >> j) & 31) + 1, 1)), lambda a, b: a || b)), lambda a, b: a || b) AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""
+
+_OP7_TURNS = """(SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')"""
+
+
+def _op7() -> str:
+    # escaping adds a character to every backslash and every control string
+    control = "|".join(re.escape(c) for c in chatfmt.CONTROL)
+    size = f"length(replace(text, chr(92), chr(92) || chr(92))) + len(regexp_extract_all(text, '{control}'))"
+    marks = " ".join(f"WHEN '{r}' THEN {len(a) + len(z)}" for r, (a, z) in chatfmt.MARKS.items())
+    return f"""SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  ({len(chatfmt.START)} + sum({size} + CASE role {marks} END))::BIGINT AS formatted_chars, 0::BIGINT AS expanded_tokens FROM {_OP7_TURNS} GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_topk": _OP3, "op5_warc": _OP5, "op7_chat_format": _op7()}
