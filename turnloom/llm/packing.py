@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,6 +34,12 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _ends_plain(core: bytes) -> bool:
+    """Whether the last character is a letter or number; other signs would stay together with marks behind them."""
+    last = core.decode("utf-8", "replace")[-1:] if core and core[-1] > 127 else core[-1:].decode()
+    return last.isalpha() or last != "" and unicodedata.category(last)[0] == "N"
+
+
 class WordEncoder:
     """Ids of whole texts for a lower-casing tokenizer that drops white space and never joins across it.
 
@@ -62,7 +69,7 @@ class WordEncoder:
                 young[w] = old[w]
             else:
                 core = w if b"<|" in w else w.rstrip(_MARKS)
-                parts[w] = (core, w[len(core) :]) if core else (w, b"")
+                parts[w] = (core, w[len(core) :]) if _ends_plain(core) else (w, b"")
         ask = [x for x in dict.fromkeys(x for pair in parts.values() for x in pair) if x and x not in young and x not in old]
         for x, e in zip(ask, _tokenizer(self.path).encode_batch_fast([x.decode() for x in ask], add_special_tokens=False), strict=True):
             young[x] = np.array(e.ids, dtype="<u4").tobytes()
