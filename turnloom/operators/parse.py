@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.functions.arrays import let, split_by_value, when
+from turnloom.functions.arrays import indexes, let, split_by_value, when
 from turnloom.functions.tokens import decoded
 from turnloom.sources.vocabulary import Vocabulary
 from turnloom.versions import Version
@@ -43,20 +43,20 @@ def content_and_calls(ids: Column, call_mark: int) -> Column:
 
 def think_spans(ids: Column, begin: int, end: int) -> Column:
     """struct(spans, error): ids in and outside thinking marks. Marks belong to the span; an open one stays a think span;
-    marks in the wrong place are an error."""
-    none = F.array().cast("array<int>")
-    start = F.struct(F.array().cast(_SPANS).alias("spans"), none.alias("own"), F.lit(False).alias("think"), F.lit(None).cast("string").alias("error"))
-    flushed = lambda s, own, think: F.when(F.size(own) > 0, F.array_append(s["spans"], F.struct(own.alias("ids"), think.alias("think")))).otherwise(s["spans"])
-
-    def step(s: Column, x: Column) -> Column:
-        opens, closes = x == begin, x == end
-        error = F.when(opens & s["think"], F.lit("thinking begins inside thinking")).when(closes & ~s["think"], F.lit("thinking ends outside thinking"))
-        own = F.array_append(s["own"], x)
-        spans = F.when(opens, flushed(s, s["own"], F.lit(False))).when(closes, flushed(s, own, F.lit(True))).otherwise(s["spans"])
-        left = F.when(opens, F.array(x)).when(closes, none).otherwise(own)
-        return F.struct(spans.alias("spans"), left.alias("own"), F.when(opens, F.lit(True)).when(closes, F.lit(False)).otherwise(s["think"]).alias("think"), F.coalesce(s["error"], error).alias("error"))
-
-    return F.aggregate(ids, start, step, lambda s: F.struct(flushed(s, s["own"], s["think"]).alias("spans"), s["error"].alias("error")))
+    marks in the wrong place are an error. Spans are cut at the marks' places, so long lists cost no more than reading."""
+
+    def cut(ids: Column) -> Column:
+        at = lambda i: F.get(ids, i)
+        marks = F.filter(indexes(ids), lambda i: at(i).isin(begin, end))
+        wrong = lambda m: F.filter(indexes(m), lambda k: F.when(at(F.get(m, k)) == begin, (k > 0) & (at(F.get(m, k - 1)) == begin)).otherwise((k == 0) | (at(F.get(m, k - 1)) == end)))
+        error = let(marks, lambda m: let(F.get(wrong(m), F.lit(0)), lambda k: F.when(k.isNotNull(), F.when(
+            at(F.get(m, k)) == begin, F.lit("thinking begins inside thinking")).otherwise(F.lit("thinking ends outside thinking")))))
+        heads = F.transform(marks, lambda i: F.when(at(i) == begin, i).otherwise(i + 1))
+        starts = F.array_distinct(F.array_sort(F.filter(F.concat(F.array(F.lit(0)), heads), lambda i: i < F.size(ids))))
+        span = lambda st: F.transform(st, lambda s, k: let(F.slice(ids, s + 1, F.coalesce(F.get(st, k + 1), F.size(ids)) - s), lambda x: F.struct(x.alias("ids"), (F.get(x, F.lit(0)) == begin).alias("think"))))
+        return F.struct(let(starts, span).alias("spans"), error.alias("error"))
+
+    return let(ids, cut)
 
 
 def _one_call(ids: list[int], v: Version, vocabulary: Vocabulary) -> list[dict]:

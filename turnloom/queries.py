@@ -47,12 +47,27 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Derived conversations -----------------------------------------------------------------------------------------------
 
-_K = F.col("conv_id") * 7 + F.col("turn") * 5
+
+def _k() -> Column:
+    return F.col("conv_id") * 7 + F.col("turn") * 5
+
+
 _MIXED_SQL = "CASE (conv_id * 7 + turn * 5) % 6 WHEN 0 THEN 'user' WHEN 1 THEN 'user' WHEN 2 THEN 'assistant' WHEN 3 THEN 'assistant' WHEN 4 THEN 'system' ELSE 'user' END"
-_MIXED = F.when(_K % 6 == 4, "system").when((_K % 6).isin(2, 3), "assistant").otherwise("user")
+
+
+def _mixed_role() -> Column:
+    return F.when(_k() % 6 == 4, "system").when((_k() % 6).isin(2, 3), "assistant").otherwise("user")
+
+
 #: Roles with tools: the first turn as it is, later ones by arithmetic; assistants call (turn % 3) tools.
 _TOOLED_SQL = "CASE WHEN turn = 0 THEN role ELSE CASE (conv_id * 7 + turn * 5) % 5 WHEN 0 THEN 'user' WHEN 1 THEN 'assistant' WHEN 2 THEN 'tool' WHEN 3 THEN 'tool' ELSE 'assistant' END END"
-_TOOLED = F.when(F.col("turn") == 0, F.col("role")).otherwise(F.when(_K % 5 == 0, "user").when((_K % 5).isin(2, 3), "tool").otherwise("assistant"))
+
+
+def _tooled_role() -> Column:
+    later = F.when(_k() % 5 == 0, "user").when((_k() % 5).isin(2, 3), "tool").otherwise("assistant")
+    return F.when(F.col("turn") == 0, F.col("role")).otherwise(later)
+
+
 _CALL_ID_SQL = "substr(md5((conv_id % 3)::VARCHAR || '-' || ({n})::VARCHAR), 1, 9)"
 
 
@@ -61,14 +76,14 @@ def _call_id(n: Column) -> Column:
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _table(spark, sf_dir, "conversations").withColumn("role", _MIXED)
+    turns = _table(spark, sf_dir, "conversations").withColumn("role", _mixed_role())
     return conv.from_turns(turns).withColumn("error", F.lit(None).cast(schema.ERROR))
 
 
 def _tooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistants at turn t call t % 3 tools, with ids by t and the call's place; results at turn t have the id of turn
     t - 1's call in place t % 2."""
-    turns = _table(spark, sf_dir, "conversations").withColumn("role", _TOOLED)
+    turns = _table(spark, sf_dir, "conversations").withColumn("role", _tooled_role())
     calls = F.transform(arrays.indexes(F.array_repeat(F.lit(0), (F.col("turn") % 3).cast("int"))), lambda i: F.struct(
         _call_id(F.col("turn") * 2 + i).alias("id"), F.lit("f").alias("name"), F.lit("{}").alias("arguments")))
     is_call = (F.col("role") == "assistant") & (F.col("turn") % 3 > 0)
@@ -111,7 +126,7 @@ _ISLANDS = f"""SELECT conv_id, turn, role, text, sum(new) OVER (PARTITION BY con
   SELECT *, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS new FROM {_MIX})"""
 
 
-@query(f"SELECT conv_id, g - 1 AS island, any_value(role) AS role, count(*) AS n FROM ({_ISLANDS}) GROUP BY conv_id, g")
+@query(f"SELECT conv_id, (g - 1)::BIGINT AS island, any_value(role) AS role, count(*) AS n FROM ({_ISLANDS}) GROUP BY conv_id, g")
 def role_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = _mixed(spark, sf_dir).select("conv_id", F.posexplode(normalize.islands(F.col("messages"))).alias("island", "g"))
     return groups.select("conv_id", F.col("island").cast("long").alias("island"), F.get(F.col("g"), F.lit(0))["role"].alias("role"), F.size("g").cast("long").alias("n"))
@@ -152,7 +167,7 @@ _WEIGHT_SQL = "CASE WHEN role = 'assistant' THEN (turn % 4) // 2 END"
     f"""WITH w AS (SELECT conv_id, turn, role, {_WEIGHT_SQL} AS weight FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'user' ELSE 'assistant' END AS role FROM conversations)),
 n AS (SELECT *, CASE WHEN role = lag(role) OVER o AND weight IS NOT DISTINCT FROM lag(weight) OVER o THEN 0 ELSE 1 END AS new FROM w WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
 g AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM n)
-SELECT conv_id, g - 1 AS idx, any_value(role) AS role, any_value(weight)::DOUBLE AS weight, count(*) AS n FROM g GROUP BY conv_id, g"""
+SELECT conv_id, (g - 1)::BIGINT AS idx, any_value(role) AS role, any_value(weight)::DOUBLE AS weight, count(*) AS n FROM g GROUP BY conv_id, g"""
 )
 def weight_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("turn") % 5 == 0, "user").otherwise("assistant")
@@ -353,23 +368,24 @@ def _with_tools_sql(where: str, more: str = "''") -> str:
 SELECT conv_id, '<s>' || string_agg(CASE WHEN turn = spot THEN '[AVAILABLE_TOOLS]{_TOOL_TEXT}[/AVAILABLE_TOOLS]' || {more} ELSE '' END || {_V7_TURN}, '' ORDER BY turn) AS prompt FROM conversations JOIN s USING (conv_id) GROUP BY conv_id"""
 
 
-_TOOLS = F.array(F.struct(F.lit("look_up").alias("name"), F.lit("").alias("description"), F.lit('{"type": "object"}').alias("parameters"), F.lit(False).alias("strict")))
+def _tools() -> Column:
+    return F.array(F.struct(F.lit("look_up").alias("name"), F.lit("").alias("description"), F.lit('{"type": "object"}').alias("parameters"), F.lit(False).alias("strict")))
 
 
 @query(_with_tools_sql("max"))
 def prompt_v7_tools_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prompts(spark, sf_dir, 7, tools=_TOOLS)
+    return _prompts(spark, sf_dir, 7, tools=_tools())
 
 
 @query(_with_tools_sql("min"))
 def prompt_v13_tools_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prompts(spark, sf_dir, 13, tools=_TOOLS)
+    return _prompts(spark, sf_dir, 13, tools=_tools())
 
 
 @query(_with_tools_sql("min", "CASE conv_id % 3 WHEN 0 THEN '' WHEN 1 THEN '[MODEL_SETTINGS]{\"reasoning_effort\": \"high\"}[/MODEL_SETTINGS]' ELSE '[MODEL_SETTINGS]{\"reasoning_effort\": \"none\"}[/MODEL_SETTINGS]' END"))
 def prompt_v15_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     effort = F.when(F.col("conv_id") % 3 == 1, "high").when(F.col("conv_id") % 3 == 2, "none")
-    return _prompts(spark, sf_dir, 15, tools=_TOOLS, reasoning_effort=effort)
+    return _prompts(spark, sf_dir, 15, tools=_tools(), reasoning_effort=effort)
 
 
 @query(
