@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import SPACE, let, small_or_plain, words, written
+from turnloom.llm.common import let, small_or_plain, words, written
 
 #: Names of the vector's components and the least standard deviation taken for each, in the component's own unit.
 COMPONENTS = {"word_length": 0.06, "symbols": 0.12, "repeats": 0.10, "dup_lines": 0.12, "capitals": 0.07}
@@ -29,22 +29,16 @@ _BINS = 16
 def text_counts(text: Column, ngram: int = 5) -> Column:
     """struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals) of a whole text; null is empty."""
     text = F.coalesce(text, F.lit(""))
-    blank = F.translate(text, SPACE, "")
-    symbols = F.length(blank) - F.length(F.translate(blank, "#*$%&|<>", ""))
-    capitals = F.length(blank) - F.length(F.translate(blank, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, SPACE, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^ \\t\\n\\x0B\\f\\r]"))
     dup = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    counted = let(
-        words(text),
-        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w, ngram).cast("long").alias("n_repeat_words")),
-    )
-    return let(
-        counted,
-        lambda c: F.struct(
-            c["n_words"].alias("n_words"), F.length(blank).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
-            dup.cast("long").alias("n_dup_lines"), c["n_repeat_words"].alias("n_repeat_words"), capitals.cast("long").alias("n_capitals"),
-        ),
-    )
+    without = lambda x, signs: F.length(x) - F.length(F.regexp_replace(x, signs, ""))
+
+    def counted(w: Column) -> Column:
+        return let(F.array_join(w, ""), lambda joined: F.struct(
+            F.size(w).cast("long").alias("n_words"), F.length(joined).cast("long").alias("word_chars"), without(joined, "[#*$%&|<>]+").cast("long").alias("n_symbols"),
+            dup.cast("long").alias("n_dup_lines"), _repeat_words(w, ngram).cast("long").alias("n_repeat_words"), without(joined, "[A-Z]+").cast("long").alias("n_capitals")))
+
+    return let(words(text), counted)
 
 
 def _repeat_words(w: Column, ngram: int) -> Column:
