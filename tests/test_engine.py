@@ -214,3 +214,25 @@ def test_grammars_and_templates(spark):
         assert t.count("{%-") == t.count("%}") and t.count("{{-") == t.count("}}")
     with pytest.raises(ValueError):
         grammar.chat_template(version(7), thinking=True)
+
+
+def test_vocabulary_decides():
+    image, audio = {"image_patch_size": 14, "max_image_size": 1540, "spatial_merge_size": 2}, {"sampling_rate": 16000, "frame_rate": 12.5, "audio_encoding_config": {"num_mel_bins": 128, "hop_length": 160, "window_size": 400}, "chunk_length_s": 30.0}
+    effort = {"reasoning_effort": {"type": "enum", "accepts_none": False, "default": "none", "values": ["none", "high"]}}
+    words = vocabulary.Vocabulary(version="v15", image=json.dumps(image), audio=json.dumps(audio), settings=json.dumps(effort))
+    e = Engine.for_vocabulary(words, mode="serving")
+    assert (e.version.number, e.mode, e.image.patch, e.image.merge, e.audio.chunk_samples) == (15, "serving", 14, 2, 480_000)
+    assert (e.efforts, e.effort_default, e.effort_may_lack) == (("none", "high"), "none", False)
+    assert "[THINK]" in grammar.template_for(words) and "[IMG]" in grammar.template_for(words)
+    plain = Engine.for_vocabulary(vocabulary.Vocabulary())
+    assert plain.version.number == 7 and "[IMG]" not in grammar.template_for(plain.vocabulary)
+
+
+def test_audio_requests_as_json(spark):
+    df = spark.createDataFrame([('{"audio": "AQID", "language": "en", "seed": 4, "extra": 1}', '{"input": "hi", "voice": {"id": "v1"}}'), ('{"audio": "AQID"}', '{"input": "hi", "voice": "v2", "ref_audio": "AQID"}')], "t string, s string")
+    rows = df.select(convert.transcription_from_json(F.col("t")).alias("t"), convert.speech_from_json(F.col("s")).alias("s"))
+    a, b = rows.collect()
+    assert (bytes(a.t.audio), a.t.language, a.t.streaming, a.t.seed, b.t.seed, a.s.voice, b.s.voice, bytes(b.s.ref_audio)) == (b"\x01\x02\x03", "en", "disabled", 4, None, "v1", "v2", b"\x01\x02\x03")
+    out = rows.select(convert.transcription_to_json(F.col("t")).alias("t"), convert.speech_to_json(F.col("s")).alias("s")).collect()
+    assert json.loads(out[0].t) == {"audio": "AQID", "language": "en", "streaming": "disabled", "temperature": 0.7, "seed": 4}
+    assert json.loads(out[1].s) == {"input": "hi", "voice": "v2", "ref_audio": "AQID"}

@@ -228,3 +228,15 @@ def speech_from_json(json: Column) -> Column:
     r = F.from_json(json, "struct<input:string,voice:string,ref_audio:string>")
     voice = F.coalesce(F.get_json_object(r["voice"], "$.id"), r["voice"])
     return F.struct(r["input"].alias("input"), voice.alias("voice"), F.try_to_binary(r["ref_audio"], F.lit("base64")).alias("ref_audio"))
+
+
+def transcription_to_json(r: Column) -> Column:
+    """JSON text of transcription_from_json()'s struct; null fields are left out."""
+    audio = F.regexp_replace(F.base64(r["audio"]), "[\\r\\n]", "")
+    return F.to_json(F.struct(audio.alias("audio"), *(r[n].alias(n) for n in ("language", "streaming", "target_streaming_delay_ms", "temperature", "seed"))))
+
+
+def speech_to_json(r: Column) -> Column:
+    """JSON text of speech_from_json()'s struct; null fields are left out."""
+    audio = F.regexp_replace(F.base64(r["ref_audio"]), "[\\r\\n]", "")
+    return F.to_json(F.struct(r["input"].alias("input"), r["voice"].alias("voice"), audio.alias("ref_audio")))

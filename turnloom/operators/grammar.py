@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from turnloom.functions.arrays import let
+from turnloom.sources.vocabulary import Vocabulary
 from turnloom.special import SpecialTokens
-from turnloom.versions import Version
+from turnloom.versions import Version, version
 
 CHOICES = ("auto", "any", "required", "none")
 _ANY_OBJECT = '{"type": "object"}'
@@ -125,3 +126,9 @@ def chat_template(v: Version, thinking: bool = False, images: bool = False) -> s
     lines.append("{%- else %}{{- raise_exception('no such role: ' + m.role) }}{%- endif %}")
     lines.append("{%- endfor %}")
     return "\n".join(lines) + "\n"
+
+
+def template_for(words: Vocabulary) -> str:
+    """The chat template for a vocabulary: with thinking if it has the marks, with images if it has their block."""
+    v = version(words.version)
+    return chat_template(v, v.think and {"[THINK]", "[/THINK]"} <= words.special.ranks.keys(), v.number >= 3 and words.image is not None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,24 @@ from turnloom.sources.vocabulary import Vocabulary
 from turnloom.versions import Version, version
 
 
+def image_config(words: Vocabulary) -> ImageConfig | None:
+    if words.image is None:
+        return None
+    b = json.loads(words.image)
+    return ImageConfig(b["image_patch_size"], b["max_image_size"], b.get("spatial_merge_size", 1))
+
+
+def audio_config(words: Vocabulary) -> AudioConfig | None:
+    if words.audio is None:
+        return None
+    b = json.loads(words.audio)
+    e = b["audio_encoding_config"]
+    return AudioConfig(
+        b["sampling_rate"], b["frame_rate"], e["num_mel_bins"], e["hop_length"], e["window_size"], b.get("chunk_length_s"), b.get("transcription_delay_ms"),
+        left_pad_tokens=b.get("streaming_n_left_pad_tokens") or 0, streaming=b.get("transcription_format") == "streaming", voices=b.get("voice_num_audio_tokens") or {},
+    )
+
+
 @dataclass(frozen=True)
 class Engine:
     """Everything that a run needs to know besides its data."""
@@ -35,6 +54,18 @@ class Engine:
     def of(cls, name: int | str, **more) -> Engine:
         return cls(version=version(name), **more)
 
+    @classmethod
+    def for_vocabulary(cls, words: Vocabulary, **more) -> Engine:
+        """With the version and the media and settings blocks that a vocabulary file brings."""
+        found: dict = {"version": version(words.version), "vocabulary": words}
+        if (image := image_config(words)) is not None:
+            found["image"] = image
+        if (audio := audio_config(words)) is not None:
+            found["audio"] = audio
+        if words.settings is not None and (effort := json.loads(words.settings).get("reasoning_effort")):
+            found |= {"efforts": tuple(effort["values"]), "effort_default": effort.get("default"), "effort_may_lack": bool(effort["accepts_none"])}
+        return cls(**(found | more))
+
     def checked(self, requests: DataFrame) -> DataFrame:
         """requests with `error`; a request to truncate needs a budget."""
         df = validate(requests, self.version, self.mode, schemas=self.json_text and "tools" in requests.columns)

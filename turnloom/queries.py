@@ -180,13 +180,13 @@ def weight_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT conv_id, turn, (turn * 7 + conv_id) % 5 AS id FROM conversations WHERE turn < 6),
+    """WITH r AS (SELECT conv_id, turn, (turn * 7 + conv_id) % 5 AS id FROM conversations),
 c AS (SELECT conv_id, [3, 1, (conv_id % 5), 0] AS called FROM conversations GROUP BY conv_id),
 k AS (SELECT conv_id, turn, id, coalesce(list_last(list_filter([1, 2, 3, 4], lambda i: called[i] = id)), 1000) AS call, max(turn) OVER (PARTITION BY conv_id, id) AS last FROM r JOIN c USING (conv_id))
 SELECT conv_id, string_agg(id::VARCHAR, ',' ORDER BY call, last, turn) AS ids, string_agg(turn::VARCHAR, ',' ORDER BY call, last, turn) AS places FROM k GROUP BY conv_id"""
 )
 def ordered_tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _table(spark, sf_dir, "conversations").filter("turn < 6")
+    t = _table(spark, sf_dir, "conversations")
     m = schema.message(role=F.lit("tool"), content_kind=F.lit("str"), chunks=F.array(schema.text_chunk(F.col("turn").cast("string"))), tool_call_id=((F.col("turn") * 7 + F.col("conv_id")) % 5).cast("string"))
     rows = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", m.alias("m")))).alias("t"))
     called = F.array(F.lit("3"), F.lit("1"), (F.col("conv_id") % 5).cast("string"), F.lit("0"))
@@ -418,11 +418,12 @@ def token_counts_v7(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BYTE_AT = "('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::INTEGER"
 
 
-@query(f"SELECT doc_id, i AS pos, {_BYTE_AT} + 100 AS token_id FROM (SELECT doc_id, text, unnest(range(octet_length(encode(text)))) AS i FROM documents WHERE length(text) < 400)")
+@query(f"SELECT doc_id, count(*) AS n, sum(t)::BIGINT AS total, sum(t * (i % 97 + 1))::BIGINT AS weighted FROM (SELECT doc_id, i, {_BYTE_AT} + 100 AS t FROM (SELECT doc_id, text, unnest(range(octet_length(encode(text)))) AS i FROM documents)) GROUP BY doc_id")
 def byte_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").filter(F.length("text") < 400)
-    rows = docs.select("doc_id", F.posexplode(tokens.byte_ids(F.col("text"), _BYTES.n_special)).alias("pos", "token_id"))
-    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "token_id")
+    """Of every document the ids' number, sum and sum weighted by place, which tell lists of ids apart."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", tokens.byte_ids(F.col("text"), _BYTES.n_special).alias("ids")).filter(F.size("ids") > 0)
+    add = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n"), add(F.col("ids")).alias("total"), add(F.transform("ids", lambda x, i: x * (i % 97 + 1))).alias("weighted"))
 
 
 @query(f"SELECT conv_id, role, sum({_N_TURN})::BIGINT AS n_tokens FROM conversations GROUP BY conv_id, role")
@@ -497,31 +498,33 @@ def tool_prompts_v13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Parsing -------------------------------------------------------------------------------------------------------------
 
-#: Token lists to parse: the first 60 bytes of a text, folded to 0..12, so that marks are frequent.
-_IDS_SQL = f"(SELECT doc_id, i, {_BYTE_AT} % 13 AS x FROM (SELECT doc_id, text, unnest(range(least(60, octet_length(encode(text))))) AS i FROM documents))"
+#: Token lists to parse: a text's bytes, folded to 0..12, so that marks are frequent.
+_IDS_SQL = f"(SELECT doc_id, i, {_BYTE_AT} % 13 AS x FROM (SELECT doc_id, text, unnest(range(octet_length(encode(text)))) AS i FROM documents))"
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = F.transform(F.slice(tokens.byte_ids(F.substring("text", 1, 60), 0), 1, 60), lambda x: x % 13)
+    own = F.transform(tokens.byte_ids(F.col("text"), 0), lambda x: x % 13)
     return _table(spark, sf_dir, "documents").filter(F.length("text") > 0).select("doc_id", own.alias("ids"))
 
 
 @query(
-    f"""SELECT doc_id, g AS part, string_agg(x::VARCHAR, ',' ORDER BY i) AS ids FROM (
-SELECT *, sum(CASE WHEN x = 9 AND i > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS g FROM {_IDS_SQL}) GROUP BY doc_id, g"""
+    f"""SELECT doc_id, count(*) AS n_parts, max(n) AS longest, sum(first)::BIGINT AS firsts FROM (SELECT doc_id, g, count(*) AS n, min_by(x, i) AS first FROM (
+SELECT *, sum(CASE WHEN x = 9 AND i > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM {_IDS_SQL}) GROUP BY doc_id, g) GROUP BY doc_id"""
 )
 def split_by_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lists(spark, sf_dir).select("doc_id", F.posexplode(arrays.split_by_value(F.col("ids"), F.lit(9))).alias("part", "p"))
-    return rows.select("doc_id", F.col("part").cast("long").alias("part"), F.array_join(F.col("p").cast("array<string>"), ",").alias("ids"))
+    rows = _lists(spark, sf_dir).select("doc_id", arrays.split_by_value(F.col("ids"), F.lit(9)).alias("p"))
+    firsts = F.aggregate(F.transform("p", lambda p: F.get(p, F.lit(0)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("doc_id", F.size("p").cast("long").alias("n_parts"), F.array_max(F.transform("p", F.size)).cast("long").alias("longest"), firsts.alias("firsts"))
 
 
 @query(
-    f"""SELECT doc_id, g - 1 AS run, any_value(x < 4) AS special, count(*) AS n FROM (
-SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS g FROM (SELECT *, CASE WHEN (x < 4) = lag(x < 4) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM {_IDS_SQL})) GROUP BY doc_id, g"""
+    f"""SELECT doc_id, special, count(*) AS n_runs, sum(n)::BIGINT AS n_ids, max(n) AS longest FROM (SELECT doc_id, g, any_value(x < 4) AS special, count(*) AS n FROM (
+SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT *, CASE WHEN (x < 4) = lag(x < 4) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM {_IDS_SQL})) GROUP BY doc_id, g) GROUP BY doc_id, special"""
 )
 def special_run_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lists(spark, sf_dir).select("doc_id", F.posexplode(tokens.special_runs(F.col("ids"), 4)).alias("run", "r"))
-    return rows.select("doc_id", F.col("run").cast("long").alias("run"), "r.special", F.size("r.ids").cast("long").alias("n"))
+    rows = _lists(spark, sf_dir).select("doc_id", F.explode(tokens.special_runs(F.col("ids"), 4)).alias("r"))
+    n = F.size("r.ids").cast("long")
+    return rows.groupBy("doc_id", "r.special").agg(F.count("*").alias("n_runs"), F.sum(n).alias("n_ids"), F.max(n).alias("longest"))
 
 
 @query(
@@ -543,18 +546,24 @@ def content_and_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("s.content").cast("long").alias("n_content"), F.size("s.calls").cast("long").alias("n_calls"))
 
 
+#: Lists with marks that mostly alternate: capitals begin, full stops end.
+_SENTENCES_SQL = f"(SELECT doc_id, i, CASE WHEN b BETWEEN 65 AND 90 THEN 1 WHEN b = 46 THEN 2 ELSE 3 END AS x FROM (SELECT doc_id, i, {_BYTE_AT} AS b FROM (SELECT doc_id, text, unnest(range(octet_length(encode(text)))) AS i FROM documents)))"
+
+
 @query(
-    f"""WITH e AS (SELECT *, CASE x WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS d FROM {_IDS_SQL}),
+    f"""WITH e AS (SELECT *, CASE x WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS d FROM {_SENTENCES_SQL}),
 p AS (SELECT *, last(CASE WHEN d <> 0 THEN d END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
 b AS (SELECT doc_id, bool_or((d = 1 AND before = 1) OR (d = -1 AND coalesce(before, -1) = -1)) AS broken FROM p GROUP BY doc_id),
 g AS (SELECT p.doc_id, i, coalesce(before, -1) = 1 OR d = 1 AS think, sum(CASE WHEN d = 1 OR before = -1 AND lag_d = -1 THEN 1 ELSE 0 END) OVER (PARTITION BY p.doc_id ORDER BY i) AS g
   FROM (SELECT *, lag(d) OVER (PARTITION BY doc_id ORDER BY i) AS lag_d FROM p) p JOIN b USING (doc_id) WHERE NOT broken)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS span, bool_or(think) AS think, count(*) AS n FROM g GROUP BY doc_id, g"""
+SELECT doc_id, think, count(*) AS n_spans, sum(n)::BIGINT AS n_ids, max(n) AS longest FROM (SELECT doc_id, g, bool_or(think) AS think, count(*) AS n FROM g GROUP BY doc_id, g) GROUP BY doc_id, think"""
 )
 def think_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lists(spark, sf_dir).select("doc_id", parse.think_spans(F.col("ids"), 1, 2).alias("s")).filter("s.error is null")
-    spans = rows.select("doc_id", F.posexplode("s.spans").alias("span", "x"))
-    return spans.select("doc_id", F.col("span").cast("long").alias("span"), "x.think", F.size("x.ids").cast("long").alias("n"))
+    own = F.transform(tokens.byte_ids(F.col("text"), 0), lambda b: F.when(b.between(65, 90), 1).when(b == 46, 2).otherwise(3))
+    docs = _table(spark, sf_dir, "documents").filter(F.length("text") > 0).select("doc_id", own.alias("ids"))
+    rows = docs.select("doc_id", parse.think_spans(F.col("ids"), 1, 2).alias("s")).filter("s.error is null").select("doc_id", F.explode("s.spans").alias("x"))
+    n = F.size("x.ids").cast("long")
+    return rows.groupBy("doc_id", "x.think").agg(F.count("*").alias("n_spans"), F.sum(n).alias("n_ids"), F.max(n).alias("longest"))
 
 
 @query("SELECT conv_id, turn, sha256(rtrim(text, ' ')) AS text_hash, false AS prefix FROM conversations WHERE role = 'assistant'")
@@ -575,12 +584,12 @@ def _by_turn():
 
 @query(
     f"""WITH v AS (SELECT {_BYTE_AT} + 100 AS token_id FROM (SELECT text, unnest(range(octet_length(encode(text)))) AS i FROM benchmark))
-SELECT token_id, count(*) AS n, chr(token_id - 100) AS piece FROM v WHERE token_id < 228 GROUP BY token_id"""
+SELECT token_id, count(*) AS n, lpad(upper(to_hex(token_id - 100)), 2, '0') AS piece FROM v GROUP BY token_id"""
 )
 def piece_lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _table(spark, sf_dir, "benchmark").select(F.explode(tokens.byte_ids(F.col("text"), 100)).alias("token_id")).filter("token_id < 228")
+    ids = _table(spark, sf_dir, "benchmark").select(F.explode(tokens.byte_ids(F.col("text"), 100)).alias("token_id"))
     counts = ids.groupBy("token_id").agg(F.count("*").alias("n"))
-    return tokens.with_pieces(counts, vocabulary.table(spark, _BYTES)).select("token_id", "n", F.col("text").alias("piece"))
+    return tokens.with_pieces(counts, vocabulary.table(spark, _BYTES)).select("token_id", "n", F.hex("piece").alias("piece"))
 
 
 # Media ---------------------------------------------------------------------------------------------------------------
@@ -712,9 +721,9 @@ def nominal_vocabularies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(f"v{n}", max(v.vocabulary_sizes.values())) for n, v in VERSIONS.items()], "version string, size int")
 
 
-@query("SELECT i::INTEGER AS id, CASE WHEN i < 20 THEN t[i + 1] ELSE '<SPECIAL_' || i || '>' END AS name FROM range(23) r(i), (SELECT ['<unk>', '<s>', '</s>', '[INST]', '[/INST]', '[AVAILABLE_TOOLS]', '[/AVAILABLE_TOOLS]', '[TOOL_RESULTS]', '[/TOOL_RESULTS]', '[TOOL_CALLS]', '[IMG]', '<pad>', '[IMG_BREAK]', '[IMG_END]', '[PREFIX]', '[MIDDLE]', '[SUFFIX]', '[SYSTEM_PROMPT]', '[/SYSTEM_PROMPT]', '[TOOL_CONTENT]'] AS t)")
+@query("SELECT i::INTEGER AS id, CASE WHEN i < 20 THEN t[i + 1] ELSE coalesce(m[i], '<SPECIAL_' || i || '>') END AS name FROM range(100) r(i), (SELECT ['<unk>', '<s>', '</s>', '[INST]', '[/INST]', '[AVAILABLE_TOOLS]', '[/AVAILABLE_TOOLS]', '[TOOL_RESULTS]', '[/TOOL_RESULTS]', '[TOOL_CALLS]', '[IMG]', '<pad>', '[IMG_BREAK]', '[IMG_END]', '[PREFIX]', '[MIDDLE]', '[SUFFIX]', '[SYSTEM_PROMPT]', '[/SYSTEM_PROMPT]', '[TOOL_CONTENT]'] AS t, MAP {24: '[AUDIO]', 25: '[BEGIN_AUDIO]', 32: '[ARGS]', 33: '[CALL_ID]', 35: '[THINK]', 36: '[/THINK]', 37: '[MODEL_SETTINGS]', 38: '[/MODEL_SETTINGS]', 39: '[STREAMING_PAD]', 40: '[STREAMING_WORD]'} AS m)")
 def special_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.table(spark, _BYTES).filter("id < 23").select("id", F.col("text").alias("name"))
+    return vocabulary.table(spark, _BYTES).filter("special").select("id", F.col("text").alias("name"))
 
 
 @query()
