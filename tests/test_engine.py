@@ -156,7 +156,7 @@ def test_vocabulary_files(tmp_path):
         "config": {"pattern": "(?s:.+)", "default_vocab_size": 257 + 100, "default_num_special_tokens": 100, "version": "v7"},
         "vocab": [{"rank": i, "token_bytes": base64.b64encode(w).decode(), "token_str": None} for i, w in enumerate(words)],
     }
-    path = tmp_path / "tekken.json"
+    path = tmp_path / "words.json"
     path.write_text(json.dumps(data))
     v = vocabulary.load(str(path))
     assert len(v.words) == 257 and v.special.id("[INST]") == 3 and v.size == 357
@@ -167,7 +167,7 @@ def test_vocabulary_files(tmp_path):
     path.write_text(json.dumps(data | {"vocab": data["vocab"][1:]}))
     with pytest.raises(ValueError):
         vocabulary.load(str(path))
-    assert vocabulary.choose(["a/x.model.v3", "b/tekken.json", "c/y.model.v7"]) == "b/tekken.json"
+    assert vocabulary.choose(["a/x.model.v3", "b/words.json", "c/y.model.v7"]) == "b/words.json"
     assert vocabulary.choose(["a/x.model.v3", "c/y.model.v7", "d/readme"]) == "c/y.model.v7"
     assert [vocabulary.piece_model(p) for p in ("x.model", "x.model.v3", "x.model.v7m1", "x.json")] == [(1, False), (3, False), (7, True), None]
 

@@ -104,7 +104,7 @@ def table(spark: SparkSession, v: Vocabulary) -> DataFrame:
 
 def is_vocabulary(path: str) -> bool:
     """A JSON vocabulary, by name."""
-    return path.endswith(".json") and "tekken" in Path(path).name
+    return path.endswith(".json")
 
 
 def piece_model(path: str) -> tuple[int, bool] | None:
