@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import os
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from turnloom.llm.common import written
 
 #: Words of a generation whose ids a worker remembers, at about 200 bytes each.
-_REMEMBERED = 400_000
+_REMEMBERED = 700_000
 #: Marks that the tokenizer parts from a letter or digit before them.
 _MARKS = b".,;:!?%&$*#|"
 
@@ -72,7 +73,7 @@ class WordEncoder:
                 parts[w] = (core, w[len(core) :]) if _ends_plain(core) else (w, b"")
         ask = [x for x in dict.fromkeys(x for pair in parts.values() for x in pair) if x and x not in young and x not in old]
         for x, e in zip(ask, _tokenizer(self.path).encode_batch_fast([x.decode() for x in ask], add_special_tokens=False), strict=True):
-            young[x] = np.array(e.ids, dtype="<u4").tobytes()
+            young[x] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         get = lambda x: young[x] if x in young else old[x] if x in old else b""  # noqa: E731  the empty end has no ids
         for w, (core, marks) in parts.items():
             young[w] = get(core) + get(marks)
