@@ -50,3 +50,19 @@ def test_candidates_skip_what_is_no_record():
     assert list(warc.candidates(b"xWARC/1.1\r\nContent-Length: 1\r\n\r\n")) == []
     assert list(warc.candidates(b"WARC/1.1\r\nContent-Length: no\r\n\r\n")) == []
     assert [c[:3] for c in warc.candidates(b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n")] == [(0, 31, 37)]
+
+
+def test_a_long_url_in_the_middle(spark, tmp_path):
+    urls = [f"http://x/{i}" + "?" * (200_000 if i in (3, 7) else 0) for i in range(12)]
+    df = spark.createDataFrame([(i, u, f"page {i % 10}") for i, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "w")
+    warc.write_archives(df, path)
+    got = {r.page_id: (r.url, r.payload_bytes) for r in warc.read_archives(spark, path).collect()}
+    assert got == {i: (u, 6) for i, u in enumerate(urls)}
+
+
+@pytest.mark.parametrize("data", [b"no record", b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n", b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\nmore"])
+def test_broken_chains_are_errors(spark, tmp_path, data):
+    (tmp_path / "a.warc").write_bytes(data)
+    with pytest.raises(Exception, match="last byte"):
+        warc.read_archives(spark, str(tmp_path)).collect()

@@ -23,8 +23,7 @@ from turnloom.llm.common import new_path, small_or_plain, written
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _MAGIC = b"WARC/1."
 _ID = "urn:page:"
-#: A header longer than this isn't one.
-_LONGEST_HEADER = 1 << 16
+_USED = {"content-length", "warc-type", "warc-record-id", "warc-target-uri", "warc-payload-digest", "warc-refers-to"}
 _FIELD = re.compile(rb"\r\n([A-Za-z-]+): *([^\r\n]*)")
 
 
@@ -84,16 +83,20 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 
 def candidates(data: bytes) -> Iterator[tuple[int, int, int, dict[str, str]]]:
-    """(offset, block offset, successor offset, fields) wherever a record may begin."""
-    at = data.find(_MAGIC)
+    """(offset, block offset, successor offset, fields) wherever a record may begin, however long its header is."""
+    at, end, last = data.find(_MAGIC), -1, {}
     while at >= 0:
         if at == 0 or data[at - 2 : at] == b"\r\n":
-            end = data.find(b"\r\n\r\n", at, at + _LONGEST_HEADER)
-            if end > 0:
-                fields = {k.decode("ascii").lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(data[at:end])}
-                length = fields.get("content-length", "")
-                if length.isascii() and length.isdigit() and len(length) < 16:
-                    yield at, end + 4, end + 4 + int(length) + 4, fields
+            if end < at:  # places before the same blank line share one look at the lines before it
+                end = data.find(b"\r\n\r\n", at)
+                if end < 0:
+                    return
+                found = ((m.start(), m[1].decode("ascii").lower(), m[2]) for m in _FIELD.finditer(data, at, end))
+                last = {k: (place, v.decode("utf-8", "replace")) for place, k, v in found if k in _USED}
+            fields = {k: v for k, (place, v) in last.items() if place > at}
+            length = fields.get("content-length", "")
+            if length.isascii() and length.isdigit() and len(length) < 16:
+                yield at, end + 4, end + 4 + int(length) + 4, fields
         at = data.find(_MAGIC, at + 1)
 
 
@@ -120,8 +123,9 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     """One row per record reached: path, offset, page_id, url, record_type, payload_bytes, payload_digest, refers_to, and
     payload if asked for (null for revisits). Digest and size of a response are taken from its bytes, not its header.
 
-    One pass over each file gives its candidates; the verification groups only their offsets and fields by file. Files
-    that don't begin with a record, and empty ones, give no rows. An archive is read whole by one task.
+    One pass over each file gives its candidates; the verification groups only their offsets and fields by file. Empty
+    files give no rows; it is an error if the chain of any other doesn't end at its last byte. An archive is read whole
+    by one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +147,15 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                     if len(out) == 2000:
                         yield _batch(out)
                         out = []
+                out.append((name, len(data), -1, None, None, None, 0, "", None, None))  # the end, for the chain to reach
                 yield _batch(out)
 
     def verify(t: pa.Table) -> pa.Table:
         t = t.sort_by("offset")
         keep = reachable(t["offset"].to_numpy(), t["successor"].to_numpy())
-        return t.filter(pa.array(keep))
+        if not keep[-1]:
+            raise ValueError(f"the records of {t['path'][0]} don't end at its last byte")
+        return t.filter(pa.array(keep)).slice(0, int(keep.sum()) - 1)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length > 0").select("path", "content")
     kind = "path string, offset long, successor long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
