@@ -82,3 +82,12 @@ def test_sanitised(docs):
 
 def test_overlaps(docs):
     assert pii.sanitised(docs(["x 4111111111111111 y 10.0.0.1@a.bc"])).first().text == "x [CARD] y [EMAIL]"
+
+
+def test_terms_far_off_and_repeated(docs):
+    far = "w0 w1 of others and " * 60
+    named = [f"Zylinder is here. {far} {a} john.doe@example.com {b} {far} and Zylinder again, zylinder" for a, b in (("mail", "now"), ("ask", "soon"), ("see", "later"))]
+    df = docs(named + [f"the mail of w{i} and others is here, ask again, see now or soon or later" for i in range(30)])
+    clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    for i, t in enumerate(named):
+        assert clean[i] == t.replace("john.doe@example.com", "[EMAIL]").replace("Zylinder", "[REMOVED]").replace("zylinder", "[REMOVED]")

@@ -1,10 +1,11 @@
 """Personal data: patterns for identifiers, and information-theoretic sanitisation of the terms that reveal them.
 
-An entity is a distinct identifier. For a term t near an entity e, corpus counts give p(e | t) = n(e, t) / n(t), where
-n(t) counts all documents with t and n(e, t) those in which t stands near e. The pointwise mutual information
-log(p(e | t) / p(e)), as a share of the entity's own information log(1 / p(e)), tells how much of e the term gives
-away: 1 if t never occurs without e, 0 if t says nothing. Terms at or above one threshold are generalised to their
-kind of word, at or above a higher one removed, and only in documents that hold the entity. Column expressions only.
+An entity is a distinct identifier. For a term t in a text that holds an entity e, corpus counts give p(e | t) =
+n(e, t) / n(t), both over distinct whole texts: n(t) counts those with t outside identifiers, n(e, t) those of them that
+hold e. The pointwise mutual information log(p(e | t) / p(e)), as a share of the entity's own information
+log(1 / p(e)), tells how much of e the term gives away: 1 if t never occurs without e, 0 if t says nothing. Terms at or
+above one threshold are generalised to their kind of word, at or above a higher one removed, wherever they stand, but
+only in documents that hold the entity. Entities of exactly the same texts are counted as one. Column expressions only.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ _NONE = "array<struct<kind:int,start:bigint,end:bigint,value:string>>"
 _TERM = r"[A-Za-z0-9\u0080-￿]{3,}+"
 _NO_TERM = r"[^a-z0-9\u0080-￿]+"
 _TERM_KIND = len(KINDS)
+_PLACES = "array<struct<start:bigint,end:bigint,share:double>>"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -102,60 +104,78 @@ def _entity(s: Column) -> Column:
     return F.concat_ws(":", s["kind"].cast("string"), plain)
 
 
-def _near(text: Column, spans: Column, words: int, reach: int) -> Column:
-    """array<struct(entity, term, start, end)>: up to `words` terms on either side of each identifier, within `reach`
-    code points, not cut by that limit and no part of an identifier."""
+def _replaced(text: Column, every: Column) -> Column:
+    """The text with the marks of every, a sorted array<struct(start, minus_end, mark)>, in place of what they cover."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def add(s: Column, x: Column) -> Column:
+        between = F.substr(text, (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))
+        out = F.when(x["start"] >= s["at"], F.concat(s["out"], F.array(between, x["mark"]))).otherwise(s["out"])
+        return F.struct(F.greatest(s["at"], -x["minus_end"]).alias("at"), out.alias("out"))
+
+    return F.aggregate(every, start, add, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, (s["at"] + 1).cast("int"), F.length(text))))
+
+
+def _blanked(text: Column, base: Column) -> Column:
+    return _replaced(text, F.sort_array(F.transform(base, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), F.lit(" ").alias("mark")))))
+
+
+def _terms_of(text: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(F.lower(text), _NO_TERM)), lambda x: F.length(x) >= 3)
 
-    def one(s: Column) -> Column:
-        a = F.greatest(s["start"] - reach, F.lit(0))
-        left = let(F.substr(text, (a + 1).cast("int"), (s["start"] - a).cast("int")), lambda t: F.filter(matches(t, _TERM), lambda m: (m["start"] > 0) | (a == 0)))
-        right = F.substr(text, (s["end"] + 1).cast("int"), F.lit(reach))
-        right = let(right, lambda t: F.filter(matches(t, _TERM), lambda m: (m["end"] < F.length(t)) | (F.length(t) < reach)))
-        moved = lambda m, by: F.struct(_entity(s).alias("entity"), F.lower(m["value"]).alias("term"), (m["start"] + by).alias("start"), (m["end"] + by).alias("end"))
-        before = let(left, lambda t: F.slice(t, F.greatest(F.size(t) - words + 1, F.lit(1)), F.lit(words)))
-        return F.concat(F.transform(before, lambda m: moved(m, a)), F.transform(F.slice(right, 1, words), lambda m: moved(m, s["end"])))
 
-    around = F.flatten(F.transform(spans, one))
-    return F.filter(around, lambda t: ~F.exists(spans, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+def _places(text: Column, base: Column, told: Column) -> Column:
+    """array<struct(start, end, share)>: wherever a term of told, array<struct(term, share)>, stands in the whole text
+    and is no part of an identifier. Only hits are appended, so long texts cost in proportion to their length."""
+    terms = F.transform(told, lambda x: x["term"])
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_PLACES).alias("out"))
 
+    def add(s: Column, x: Column) -> Column:
+        a = s["at"] + F.length(x["before"])
+        z = a + F.length(x["value"])
+        hit = let(F.array_position(terms, F.lower(x["value"])), lambda i: F.when(i > 0, F.array_append(s["out"], F.struct(a.alias("start"), z.alias("end"), F.get(told, (i - 1).cast("int"))["share"].alias("share")))).otherwise(s["out"]))
+        return F.struct(z.alias("at"), hit.alias("out"))
+
+    pairs = let(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), lambda m: F.zip_with(F.slice(F.split(text, _TERM, -1), F.lit(1), F.size(m)), m, lambda b, v: F.struct(b.alias("before"), v.alias("value"))))
+    return F.filter(F.aggregate(pairs, start, add)["out"], lambda t: ~F.exists(base, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
 
-def found_in(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 6, reach: int = 160, least: int = 2, generalise: float = 0.9, remove: float = 0.98
-) -> DataFrame:
+
+def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, generalise: float = 0.9, remove: float = 0.98) -> DataFrame:
     """Per document: doc_id, h (hash of its text), base (array of identifiers) and terms (array of struct(start, end,
     share): the terms that disclose one of its identifiers, share at least `generalise`; at least `remove`: to go).
 
-    least: documents that must show a term near an entity before it counts as evidence. Null text counts as empty;
-    repeated rows count as documents each; an empty table gives an empty one.
+    least: distinct texts that must show a term with an entity before it counts as evidence. Null text counts as
+    empty; repeated texts count once; an empty table gives an empty one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
     first = slim.select("doc_id", F.xxhash64("t").alias("h"), "t", identifiers(F.col("t")).alias("base"))
-    none = F.array().cast("array<struct<entity:string,term:string,start:bigint,end:bigint>>")
-    near = let(F.col("base"), lambda b: F.when(F.size(b) > 0, _near(F.col("t"), b, words, reach)).otherwise(none))
-    base = written(first.select("doc_id", "h", "base", near.alias("near")), "identifiers")
-    n_docs = base.count()
-    held = base.filter(F.size("base") > 0)
-    in_doc = held.select("doc_id", "h", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
-    of_entity = in_doc.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= least)
-    pairs = held.select(F.explode(F.array_distinct(F.transform("near", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("p")).select("p.*")
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= least)
-    pairs = written(pairs.join(of_entity, "entity"), "pairs")
-    terms = written(pairs.select("term").distinct(), "terms")
-    n_terms = terms.count()
-    apart = F.array_distinct(F.split(F.lower("t"), _NO_TERM))
-    seen = slim.select(F.explode(apart).alias("term")).join(small_or_plain(terms, n_terms), "term", "left_semi") if n_terms else terms
-    df = seen.groupBy("term").agg(F.count("*").alias("n_t"))
-    own = F.log(F.lit(float(max(n_docs, 1))) / F.col("n_e"))
-    share = F.when(own > 0, F.log(F.col("n_et") * float(max(n_docs, 1)) / (F.col("n_e") * F.col("n_t").cast("double"))) / own)
-    telling = written(pairs.join(df, "term").withColumn("share", share).filter(F.col("share") >= generalise).select("entity", "term", "share"), "telling")
-    spots = held.select("doc_id", "h", F.explode("near").alias("x")).select("doc_id", "h", "x.*").join(small_or_plain(telling, telling.count()), ["entity", "term"])
-    spots = spots.groupBy("doc_id", "h", "start", "end").agg(F.max("share").alias("share"))
-    by_doc = spots.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
-    by_doc = by_doc.select(F.col("doc_id").alias("d_"), F.col("h").alias("h_"), "terms")
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,share:double>>")
-    same = F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("h") == F.col("h_"))
-    return base.join(by_doc, same, "left").select("doc_id", "h", "base", F.coalesce("terms", empty).alias("terms"))
+    base = written(first.select("doc_id", "h", "base", F.when(F.size("base") > 0, F.col("t")).alias("t")), "identifiers")
+    copies = written(base.groupBy("h").agg(F.count("*").alias("copies"), F.max(F.size("base")).alias("held")), "copies")
+    n_texts = float(max(copies.count(), 1))
+    held = base.filter("t is not null")
+    texts = held.dropDuplicates(["h"]).select("h", F.array_distinct(F.transform("base", _entity)).alias("entities"), _terms_of(_blanked(F.col("t"), F.col("base"))).alias("words"))
+    texts = written(texts, "held")
+    in_text = texts.select("h", F.explode("entities").alias("entity"))
+    of_entity = in_text.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64("h")).alias("e"))
+    alike = written(in_text.join(of_entity.filter(F.col("n_e") >= least), "entity").select("h", "n_e", "e").distinct(), "entities")
+    pairs = alike.join(texts.select("h", F.explode("words").alias("term")), "h")
+    counts = pairs.groupBy("n_e", "e", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= least)
+    # texts without identifiers as they are, those with some by the rows above; a text with copies counts once
+    more = copies.filter("held = 0 and copies > 1").select(F.col("h").alias("h_"), "copies")
+    plain = slim.select("t", F.xxhash64("t").alias("h")).join(small_or_plain(copies.filter("held > 0").select("h"), texts.count()), "h", "left_anti")
+    plain = plain.join(small_or_plain(more, more.count()), F.col("h") == F.col("h_"), "left")
+    seen = plain.select(F.explode(_terms_of(F.col("t"))).alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("w"))
+    seen = seen.union(texts.select(F.explode("words"), F.lit(1.0)))
+    df = seen.groupBy("term").agg(F.round(F.sum("w")).alias("n_t"))
+    own = F.log(F.lit(n_texts) / F.col("n_e"))
+    share = F.when(own > 0, F.log(F.col("n_et") * n_texts / (F.col("n_e") * F.col("n_t"))) / own)
+    telling = written(counts.join(df, "term").withColumn("share", share).filter(F.col("share") >= generalise).select("n_e", "e", "term", "share"), "telling")
+    told = pairs.join(telling, ["n_e", "e", "term"])
+    told = told.groupBy("h", "term").agg(F.max("share").alias("share")).groupBy("h").agg(F.collect_list(F.struct("term", "share")).alias("told"))
+    none = F.array().cast(_PLACES)
+    placed = held.join(told, "h", "left").select("doc_id", "h", "base", F.coalesce(_places(F.col("t"), F.col("base"), F.col("told")), none).alias("terms"))
+    return base.filter("t is null").select("doc_id", "h", "base", none.alias("terms")).union(placed)
 
 
 def _count(kind: int) -> Column:
@@ -182,16 +202,7 @@ def redacted(text: Column, base: Column, terms: Column, remove: float = 0.98) ->
         kind = F.when(w.rlike("[0-9]"), F.lit("[NUMBER]")).when(F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1)), F.lit("[NAME]")).otherwise(F.lit("[WORD]"))
         return F.struct(t["start"].alias("start"), (-t["end"]).alias("minus_end"), F.when(t["share"] >= remove, F.lit("[REMOVED]")).otherwise(kind).alias("mark"))
 
-    every = F.sort_array(F.concat(marks, F.transform(terms, word)))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def add(s: Column, x: Column) -> Column:
-        between = F.substr(text, (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))
-        out = F.when(x["start"] >= s["at"], F.concat(s["out"], F.array(between, x["mark"]))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], -x["minus_end"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate(every, start, add, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, (s["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(base) > 0, done).otherwise(text)
+    return F.when(F.size(base) > 0, _replaced(text, F.sort_array(F.concat(marks, F.transform(terms, word))))).otherwise(text)
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
