@@ -91,3 +91,17 @@ def test_terms_far_off_and_repeated(docs):
     clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
     for i, t in enumerate(named):
         assert clean[i] == t.replace("john.doe@example.com", "[EMAIL]").replace("Zylinder", "[REMOVED]").replace("zylinder", "[REMOVED]")
+
+
+def test_unique_identifiers_get_a_verdict(docs):
+    plain = [f"the report of w{i} and others, call today" for i in range(30)]
+    df = docs(["call Zylinder at john.doe@example.com today"] * 5 + plain)
+    clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert all(clean[i] == "call [REMOVED] at [EMAIL] today" for i in range(5))
+    assert all(clean[5 + i] == t for i, t in enumerate(plain))
+
+
+def test_copies_are_no_evidence(docs):
+    shared = [f"the report of w{i} and others" for i in range(30)]
+    named = ["call Zylinder at john.doe@example.com"] * 3 + ["ask john.doe@example.com about the report"]
+    assert all(r.terms == [] for r in pii.found_in(docs(named + shared)).collect())

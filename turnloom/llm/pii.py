@@ -144,8 +144,8 @@ def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """Per document: doc_id, h (hash of its text), base (array of identifiers) and terms (array of struct(start, end,
     share): the terms that disclose one of its identifiers, share at least `generalise`; at least `remove`: to go).
 
-    least: distinct texts that must show a term with an entity before it counts as evidence. Null text counts as
-    empty; repeated texts count once; an empty table gives an empty one.
+    least: distinct texts that must show a term with an entity before it counts as evidence; all of the entity's texts
+    if it stands in fewer. Null text counts as empty; repeated texts count once; an empty table gives an empty one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
@@ -158,9 +158,9 @@ def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     texts = written(texts, "held")
     in_text = texts.select("h", F.explode("entities").alias("entity"))
     of_entity = in_text.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64("h")).alias("e"))
-    alike = written(in_text.join(of_entity.filter(F.col("n_e") >= least), "entity").select("h", "n_e", "e").distinct(), "entities")
+    alike = written(in_text.join(of_entity, "entity").select("h", "n_e", "e").distinct(), "entities")
     pairs = alike.join(texts.select("h", F.explode("words").alias("term")), "h")
-    counts = pairs.groupBy("n_e", "e", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= least)
+    counts = pairs.groupBy("n_e", "e", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= F.least(F.lit(least), "n_e"))
     # texts without identifiers as they are, those with some by the rows above; a text with copies counts once
     more = copies.filter("held = 0 and copies > 1").select(F.col("h").alias("h_"), "copies")
     plain = slim.select("t", F.xxhash64("t").alias("h")).join(small_or_plain(copies.filter("held > 0").select("h"), texts.count()), "h", "left_anti")
