@@ -1,13 +1,19 @@
 """Quality rules: text counts, and robust multivariate outliers per language and source. Column expressions only.
 
-Every document becomes a vector of transformed statistics. For each group (language, source) the minimum-covariance-
-determinant estimate of centre and scatter is found by concentration steps: start from medians and quartile scales,
-take the `core` share of rows with the least Mahalanobis distance, re-estimate from those, repeat. Documents whose
-distance from their group's estimate passes the cut are rejected.
-
-Vectors are whole numbers of 1/1024, so sums are exact and don't depend on the order of rows. A step is one
-aggregation to (group, distance bin) with counts and moments, partial on the map side; a running sum over a group's
-few bins then finds the core and its moments at once. Nothing is collected and no group's rows meet in one task.
+Every document becomes a vector of transformed statistics: the logarithm of its mean word length, and the arcsines of the
+roots of its shares of signs, of capitals and of short words. Each is measured from its group's median and shrunk by
+n / (n + PRIOR_WORDS), so that short texts, whose shares scatter most, scatter about as much as long ones.
+
+For each group (language, source) the minimum-covariance-determinant estimate of centre and scatter is found by
+concentration steps: take the `core` share of rows with the least Mahalanobis distance, re-estimate from those, repeat.
+There are several starts, one from medians and quartile scales and others from small subsets by hash; after two steps the
+start with the least determinant goes on until its determinant no longer changes. Documents whose squared distance passes
+a chi-square quantile are rejected.
+
+Vectors are whole numbers of 1/4096, so sums are exact and don't depend on the order of rows. A step is one
+aggregation to (group, start, distance bin) with counts and moments, partial on the map side; running sums over a group's
+few bins then find the core, of whose last bin the share is taken that makes the core whole. Nothing is collected and no
+group's rows meet in one task.
 """
 
 from __future__ import annotations
@@ -17,26 +23,39 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import let, small_or_plain, words, written
+from turnloom.llm.common import let, looked_up, replaced_by, words, written
 
-#: Names of the vector's components and the least standard deviation taken for each, in the component's own unit.
-COMPONENTS = {"word_length": 0.06, "symbols": 0.12, "repeats": 0.10, "dup_lines": 0.12, "capitals": 0.07}
-_UNIT = 1024
+#: Names of the components and the least standard deviation of each, against groups in which it hardly changes and
+#: scatter would be singular; natural text of one language scatters more.
+COMPONENTS = {"word_length": 0.02, "signs": 0.005, "capitals": 0.005, "short_words": 0.02}
+#: Words' worth of the group's median that every document's statistics are mixed with.
+PRIOR_WORDS = 100
+_UNIT = 4096
+_FLOORS = [f * _UNIT for f in COMPONENTS.values()]
 #: Distances are binned by this many bins to a factor of two.
-_BINS = 16
+_BINS = 64
+#: Expected rows of a subset that a start is estimated from, and the number of such starts.
+_SUBSET, _SUBSETS = 40, 3
+_DIM = len(COMPONENTS)
+_PAIRS = [(i, j) for i in range(_DIM) for j in range(i + 1)]
+#: Kept with each document beside what the contract of the rules asks for.
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_signs", "n_short"]
 
 
 def text_counts(text: Column, ngram: int = 5) -> Column:
-    """struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals) of a whole text; null is empty."""
+    """struct of COUNTS of a whole text; null is empty. Work and memory are in proportion to the text."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^ \\t\\n\\x0B\\f\\r]"))
     dup = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     without = lambda x, signs: F.length(x) - F.length(F.regexp_replace(x, signs, ""))
 
     def counted(w: Column) -> Column:
-        return let(F.array_join(w, ""), lambda joined: F.struct(
-            F.size(w).cast("long").alias("n_words"), F.length(joined).cast("long").alias("word_chars"), without(joined, "[#*$%&|<>]+").cast("long").alias("n_symbols"),
-            dup.cast("long").alias("n_dup_lines"), _repeat_words(w, ngram).cast("long").alias("n_repeat_words"), without(joined, "[A-Z]+").cast("long").alias("n_capitals")))
+        short = F.size(F.filter(w, lambda x: F.length(x) <= 3))
+        values = lambda joined: [
+            F.size(w), F.length(joined), without(joined, "[#*$%&|<>]+"), dup, _repeat_words(w, ngram), without(joined, "[A-Z]+"),
+            F.length(F.regexp_replace(joined, r"[\p{L}\p{M}\p{N}]+", "")), short,
+        ]
+        return let(F.array_join(w, ""), lambda joined: F.struct(*(v.cast("long").alias(name) for v, name in zip(values(joined), COUNTS, strict=True))))
 
     return let(words(text), counted)
 
@@ -64,17 +83,18 @@ def base_failed(c: Column) -> Column:
     return (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
 
 
-def vector(c: Column) -> list[Column]:
-    """The transformed statistics of COMPONENTS; constants in the denominators keep short texts from scattering."""
-    n = c["n_words"].cast("double")
-    values = [
-        F.log((c["word_chars"] + 300) / (n + 50)),
-        F.log1p(10 * c["n_symbols"] / (n + 50)),
-        F.sqrt(c["n_repeat_words"] / (n + 50)),
-        F.sqrt(c["n_dup_lines"] / (n / 10 + 10)),
-        F.sqrt(c["n_capitals"] / (c["word_chars"] + 200.0)),
-    ]
-    return [F.round(v * _UNIT).cast("long").alias(f"x{i}") for i, v in enumerate(values)]
+def measures(c: Column) -> list[Column]:
+    """The transformed statistics of COMPONENTS, in whole units, as r0, r1, ...; of any value without words."""
+    of = lambda part, whole: c[part] / F.greatest(c[whole], F.lit(1))
+    share = lambda part, whole: F.asin(F.sqrt(of(part, whole)))
+    values = [F.log(F.greatest(of("word_chars", "n_words"), F.lit(1))), share("n_signs", "word_chars"), share("n_capitals", "word_chars"), share("n_short", "n_words")]
+    return [F.round(v * _UNIT).cast("long").alias(f"r{i}") for i, v in enumerate(values)]
+
+
+def _vector(measured: DataFrame) -> DataFrame:
+    """Columns x* from r*, the group's medians q* and n_words."""
+    shrunk = lambda i: F.round((F.col(f"r{i}") - F.col(f"q{i}")) * F.col("n_words") / (F.col("n_words") + PRIOR_WORDS)).cast("long")
+    return measured.select("*", *(shrunk(i).alias(f"x{i}") for i in range(_DIM)))
 
 
 def _chi2_cdf(x: float, k: int) -> float:
@@ -99,10 +119,10 @@ def chi2_quantile(p: float, k: int) -> float:
     return high
 
 
-def _distance(dim: int) -> Column:
+def _distance() -> Column:
     """Squared Mahalanobis distance from columns x*, m* and w*_* (the inverse of the scatter's Cholesky factor)."""
     out = F.lit(0.0)
-    for i in range(dim):
+    for i in range(_DIM):
         z = F.lit(0.0)
         for j in range(i + 1):
             z = z + F.col(f"w{i}_{j}") * (F.col(f"x{j}") - F.col(f"m{j}"))
@@ -110,110 +130,132 @@ def _distance(dim: int) -> Column:
     return out
 
 
-def _with_whitening(moments: DataFrame, dim: int, floors: list[float]) -> DataFrame:
-    """From columns m*, c*_* (scatter) to m*, w*_*. Floors are added as variances, so scatter is never singular."""
+def _with_whitening(moments: DataFrame) -> DataFrame:
+    """From columns m*, c*_* (scatter) to m*, w*_* and logdet. Variances below the floor, and what correlated components
+    leave of them, are raised to it; others are as estimated."""
     df = moments
-    for i in range(dim):
-        df = df.withColumn(f"c{i}_{i}", F.col(f"c{i}_{i}") + floors[i] ** 2)
-    for i in range(dim):
-        for j in range(i + 1):
-            s = F.col(f"c{i}_{j}")
-            for k in range(j):
-                s = s - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            df = df.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(s, F.lit(floors[i] ** 2 / 4))) if i == j else s / F.col(f"l{j}_{j}"))
-    for i in range(dim):
-        for j in range(i + 1):
-            if i == j:
-                value = 1 / F.col(f"l{i}_{i}")
-            else:
-                value = F.lit(0.0)
-                for k in range(j, i):
-                    value = value - F.col(f"l{i}_{k}") * F.col(f"w{k}_{j}")
-                value = value / F.col(f"l{i}_{i}")
-            df = df.withColumn(f"w{i}_{j}", value)
-    return df.select("g", *(f"m{i}" for i in range(dim)), *(f"w{i}_{j}" for i in range(dim) for j in range(i + 1)))
-
-
-def _start(stats: DataFrame, dim: int, floors: list[float]) -> DataFrame:
-    """Medians and quartile scales. Components are whole numbers of a narrow range, so exact percentiles stay small."""
-    quartiles = stats.groupBy("g").agg(*(F.percentile(F.col(f"x{i}"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(dim)))
-    for i in range(dim):
-        quartiles = quartiles.withColumn(f"m{i}", F.col(f"q{i}")[1])
-        quartiles = quartiles.withColumn(f"c{i}_{i}", F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(2.0)))
-        for j in range(i):
-            quartiles = quartiles.withColumn(f"c{i}_{j}", F.lit(0.0))
-    return _with_whitening(quartiles, dim, floors)
-
-
-def _step(stats: DataFrame, now: DataFrame, dim: int, floors: list[float], core: float, scale: float) -> DataFrame:
-    """One concentration step."""
-    d = F.greatest(_distance(dim), F.lit(1e-6))
-    binned = stats.join(now, "g").withColumn("bin", F.floor(_BINS * F.log2(d)).cast("int"))
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(dim)]
-    sums += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(dim) for j in range(i + 1)]
-    bins = binned.groupBy("g", "bin").agg(F.count("*").alias("n"), *sums)
-    names = ["n", *(f"s{i}" for i in range(dim)), *(f"s{i}_{j}" for i in range(dim) for j in range(i + 1))]
-    run = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("g")
-    cum = bins.select("g", "bin", F.sum("n").over(whole).alias("all"), *(F.sum(c).over(run).alias(c) for c in names))
-    edge = cum.filter(F.col("n") >= core * F.col("all")).groupBy("g").agg(F.min_by(F.struct(*names), "bin").alias("e")).select("g", "e.*")
-    for i in range(dim):
-        edge = edge.withColumn(f"m{i}", F.col(f"s{i}") / F.col("n"))
-    for i in range(dim):
-        for j in range(i + 1):
-            edge = edge.withColumn(f"c{i}_{j}", (F.col(f"s{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * scale)
-    return _with_whitening(edge, dim, floors)
-
-
-def _grouped(stats: DataFrame, least: int) -> tuple[DataFrame, int]:
-    """stats with g: (language, source) where it has `least` rows, else the language's remaining rows together, else all
-    remaining rows together, else null. Also the number of groups."""
-    counts = stats.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    for i in range(_DIM):
+        df = df.withColumn(f"c{i}_{i}", F.greatest(f"c{i}_{i}", F.lit(_FLOORS[i] ** 2)))
+    for i, j in _PAIRS:
+        s = F.col(f"c{i}_{j}")
+        for k in range(j):
+            s = s - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
+        df = df.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(s, F.lit(_FLOORS[i] ** 2 / 16))) if i == j else s / F.col(f"l{j}_{j}"))
+    for i, j in _PAIRS:
+        value = F.lit(1.0 if i == j else 0.0)
+        for k in range(j, i):
+            value = value - F.col(f"l{i}_{k}") * F.col(f"w{k}_{j}")
+        df = df.withColumn(f"w{i}_{j}", value / F.col(f"l{i}_{i}"))
+    logdet = sum((2 * F.log(F.col(f"l{i}_{i}")) for i in range(_DIM)), F.lit(0.0))
+    return df.select("g", "s", *(f"m{i}" for i in range(_DIM)), *(f"w{i}_{j}" for i, j in _PAIRS), logdet.alias("logdet"))
+
+
+_SUMS = [*(f"s{i}" for i in range(_DIM)), *(f"s{i}_{j}" for i, j in _PAIRS)]
+
+
+def _sums() -> list[Column]:
+    return [F.sum(f"x{i}").alias(f"s{i}") for i in range(_DIM)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in _PAIRS]
+
+
+def _moments(sums: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Columns m*, c*_* from n and the sums."""
+    df = sums
+    for i in range(_DIM):
+        df = df.withColumn(f"m{i}", F.col(f"s{i}") / F.col("n"))
+    for i, j in _PAIRS:
+        df = df.withColumn(f"c{i}_{j}", (F.col(f"s{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * scale)
+    return df
+
+
+def _starts(fit: DataFrame, quartiles: DataFrame) -> DataFrame:
+    """One estimate from quartile scales and some from small subsets, by group g and start s."""
+    first = quartiles.select("g", F.lit(0).alias("s"), *(F.lit(0.0).alias(f"m{i}") for i in range(_DIM)), *(
+        F.pow((F.col(f"upper{i}") - F.col(f"lower{i}")) / 1.349, F.lit(2.0)).alias(f"c{i}_{i}") if i == j else F.lit(0.0).alias(f"c{i}_{j}") for i, j in _PAIRS))
+    drawn = F.filter(F.sequence(F.lit(1), F.lit(_SUBSETS)), lambda s: F.pmod(F.xxhash64("u", s), F.col("rows")) < _SUBSET)
+    subsets = fit.select("g", F.explode(drawn).alias("s"), *(f"x{i}" for i in range(_DIM))).groupBy("g", "s").agg(F.count("*").alias("n"), *_sums())
+    return _with_whitening(first).unionByName(_with_whitening(_moments(subsets)))
+
+
+def _step(fit: DataFrame, now: DataFrame, rows: int, core: float, scale: float) -> DataFrame:
+    """One concentration step of every (g, s) in now, a table of so many rows."""
+    d = F.greatest(_distance(), F.lit(1e-9))
+    binned = looked_up(fit, now, "g", rows, "inner").withColumn("bin", F.floor(_BINS * F.log2(d)).cast("int"))
+    bins = binned.groupBy("g", "s", "bin").agg(F.count("*").alias("n"), *_sums())
+    names = ["n", *_SUMS]
+    upto = Window.partitionBy("g", "s").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    cum = bins.select("g", "s", F.sum("n").over(Window.partitionBy("g", "s")).alias("all"), *(F.col(c).alias(f"own_{c}") for c in names), *(F.sum(c).over(upto).alias(c) for c in names))
+    wanted = core * F.col("all")
+    edge = cum.filter((F.col("n") >= wanted) & (F.col("n") - F.col("own_n") < wanted)).withColumn("part", 1 - (F.col("n") - wanted) / F.col("own_n"))
+    whole = edge.select("g", "s", *((F.col(c) - F.col(f"own_{c}") * (1 - F.col("part"))).alias(c) for c in names))
+    return _with_whitening(_moments(whole, scale))
+
+
+def _groups(good: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """(k, g) for every language and source, as k, and the number of rows: g is its own where it has `least` rows, else the
+    language's remaining rows together, else all remaining rows together, else null."""
+    counts = good.groupBy("k", "lang", "source").agg(F.count("*").alias("n"))
     rest = F.when(F.col("n") < least, F.col("n")).otherwise(0)
-    by_lang = Window.partitionBy("lang")
-    counts = counts.withColumn("in_lang", F.sum(rest).over(by_lang))
-    left = counts.filter((F.col("n") < least) & (F.col("in_lang") < least)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("left"))
+    counts = written(counts.withColumn("in_lang", F.sum(rest).over(Window.partitionBy("lang"))), "groups")
+    left = counts.filter((F.col("n") < least) & (F.col("in_lang") < least)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("left"), F.count("*").alias("k"))
     enough = left.first()["left"] >= least
     g = (
-        F.when(F.col("n") >= least, F.to_json(F.struct("lang", "source")))
-        .when(F.col("in_lang") >= least, F.to_json(F.struct("lang")))
-        .otherwise(F.lit("{}") if enough else F.lit(None).cast("string"))
+        F.when(F.col("n") >= least, F.concat(F.lit("2"), "k"))
+        .when(F.col("in_lang") >= least, F.concat(F.lit("1"), F.to_json(F.struct("lang"))))
+        .otherwise(F.lit("0") if enough else F.lit(None).cast("string"))
     )
-    keys = written(counts.select("lang", "source", g.alias("g")), "groups")
-    n = keys.count()
-    k = keys.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), "g")
-    same = F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_"))
-    return stats.join(small_or_plain(k, n), same, "left").drop("lang_", "source_"), n
+    return counts.select("k", g.alias("g")), counts.count()
+
+
+def estimates(fit: DataFrame, quartiles: DataFrame, groups: int, core: float = 0.7, steps: int = 30) -> DataFrame:
+    """(g, m*, w*_*, logdet): every group's estimate. fit holds g, rows, u (any hash) and x*, quartiles lower* and upper*.
+    Steps go on until no group's logarithm of the determinant changes by more than 0.001, at most so many."""
+    scale = core / _chi2_cdf(chi2_quantile(core, _DIM), _DIM + 2)
+    now, rows = written(_starts(fit, quartiles), "centre"), groups * (1 + _SUBSETS)
+    for _ in range(2):
+        now = replaced_by(now, written(_step(fit, now, rows, core, scale), "centre"))
+    best = now.groupBy("g").agg(F.min_by(F.struct(*now.columns[1:]), F.struct("logdet", "s")).alias("e")).select("g", "e.*")
+    now = replaced_by(now, written(best, "centre"))
+    for _ in range(steps):
+        new = written(_step(fit, now, groups, core, scale), "centre")
+        moved = new.select("g", F.col("logdet").alias("new")).join(now.select("g", "logdet"), "g").agg(F.max(F.abs(F.col("new") - F.col("logdet")))).first()[0]
+        now = replaced_by(now, new)
+        if moved is None or moved < 1e-3:
+            break
+    return now.drop("s")
 
 
 def judged(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-    core: float = 0.6, steps: int = 4, tail: float = 1e-7, least: int = 60,
+    core: float = 0.7, tail: float = 1e-8, least: int = 60, carry: bool = False,
 ) -> DataFrame:
-    """Per document: id, the counts of text_counts(), base_failed, distance (squared; null if base_failed or ungrouped), kept.
+    """Per row: doc_id, COUNTS, base_failed, distance (squared; null if base_failed or ungrouped), kept and, if asked for,
+    row, a struct of all its columns, which no count can clash with.
 
     Documents that fail the base rules take no part in the estimates. Null text is empty and fails; null languages and
     sources are groups of their own; groups of fewer than `least` rows join others of the language, then all others;
-    if even those are too few, they are kept, as nothing can be estimated. Repeated rows count each; an empty table
-    gives an empty one. `core` is the share that concentration steps keep, `tail` the chi-square tail of the cut.
+    if even those are too few, they are kept, as nothing can be estimated. Repeated rows count and are judged each, ids
+    play no part; very long texts are one vector like others; an empty table gives an empty one. `core` is the share
+    that concentration steps keep (more than the rest of a group may be outliers only at the estimate's cost), `tail`
+    the chi-square tail of the cut.
     """
-    dim, floors = len(COMPONENTS), [f * _UNIT for f in COMPONENTS.values()]
-    counted = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), text_counts(F.col(text_col)).alias("c")
-    )
-    counted = counted.select("doc_id", "lang", "source", "c.*", base_failed(F.col("c")).alias("base_failed"))
-    counted = written(counted, "counts")
-    row = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals")
-    grouped, n = _grouped(counted.filter(~F.col("base_failed")), least)
-    stats = written(grouped.select("doc_id", *counted.columns[3:-1], "g", *vector(row)), "vectors")
-    fit = stats.filter(F.col("g").isNotNull()).select("g", *(f"x{i}" for i in range(dim)))
-    scale = core / _chi2_cdf(chi2_quantile(core, dim), dim + 2)
-    now = written(_start(fit, dim, floors), "centre")
-    for _ in range(steps):
-        now = written(_step(fit, small_or_plain(now, n), dim, floors, core, scale), "centre")
-    counts = counted.columns[3:-1]
-    far = stats.join(small_or_plain(now, n), "g", "left").select(
-        "doc_id", *counts, F.lit(False).alias("base_failed"), _distance(dim).alias("distance")
-    ).withColumn("kept", F.coalesce(F.col("distance") <= chi2_quantile(1 - tail, dim), F.lit(True)))
-    failed = counted.filter("base_failed").select("doc_id", *counts, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
-    return far.unionByName(failed)
+    named = [F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), text_counts(F.col(text_col)).alias("c")]
+    first = docs.select(*named, *([F.struct(*docs.columns).alias("row")] if carry else []))
+    more = ["row"] if carry else []
+    first = first.select("doc_id", "lang", "source", F.to_json(F.struct("lang", "source")).alias("k"), "c.*", base_failed(F.col("c")).alias("base_failed"), *more)
+    counted = written(first, "counts")
+    good = counted.filter(~F.col("base_failed"))
+    keys, n = _groups(good, least)
+    measured = good.select("k", "n_words", *measures(F.struct(*COUNTS)), F.xxhash64("doc_id", "n_words", "word_chars").alias("u"))
+    measured = looked_up(measured, keys, "k", n, "inner").filter(F.col("g").isNotNull())
+    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))  # of whole numbers from a narrow range, so exact percentiles stay small
+    quartiles = measured.groupBy("g").agg(F.count("*").alias("rows"), *(F.percentile(f"r{i}", at).alias(f"p{i}") for i in range(_DIM)))
+    names = [F.col(f"p{i}")[k].alias(f"{name}{i}") for i in range(_DIM) for k, name in enumerate(("lower", "q", "upper"))]
+    quartiles = written(quartiles.select("g", "rows", *names), "quartiles")
+    medians = quartiles.select("g", "rows", *(f"q{i}" for i in range(_DIM)))
+    fit = written(_vector(looked_up(measured, medians, "g", n)).select("g", "rows", "u", *(f"x{i}" for i in range(_DIM))), "vectors")
+    verdicts = keys.join(medians.drop("rows").join(estimates(fit, quartiles, n, core), "g"), "g", "left").drop("g")
+    each = counted.select("doc_id", "k", *COUNTS, "base_failed", *more, *measures(F.struct(*COUNTS)))
+    each = _vector(looked_up(each, verdicts, "k", n))
+    distance = F.when(~F.col("base_failed"), _distance())
+    fits = ~F.col("base_failed") & F.coalesce(distance <= chi2_quantile(1 - tail, _DIM), F.lit(True))
+    return each.select("doc_id", *COUNTS, "base_failed", distance.alias("distance"), fits.alias("kept"), *more)
