@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import numpy as np
@@ -46,10 +47,59 @@ def test_pointer_jumping():
     assert len(warc.reachable(np.zeros(0, dtype=int), np.zeros(0, dtype=int))) == 0
 
 
-def test_candidates_skip_what_is_no_record():
-    assert list(warc.candidates(b"xWARC/1.1\r\nContent-Length: 1\r\n\r\n")) == []
-    assert list(warc.candidates(b"WARC/1.1\r\nContent-Length: no\r\n\r\n")) == []
-    assert [c[:3] for c in warc.candidates(b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n")] == [(0, 31, 37)]
+def test_chains_leave_their_range():
+    offsets, successors = np.array([0, 5, 10, 12, 30]), np.array([10, 12, 30, 20, 99])
+    assert warc.leaving(offsets, successors, 40).tolist() == [99, -1, 99, -1, 99]
+    assert warc.leaving(offsets[:3], successors[:3], 14).tolist() == [30, 12, 30]
+    assert len(warc.leaving(offsets[:0], successors[:0], 9)) == 0
+
+
+def test_what_is_no_record_gives_no_candidate():
+    assert warc.parsed(b"1\r\nContent-Length: 1\r\n", 7) is None
+    assert warc.parsed(b"1\r\nContent-Length: no\r\n\r\n", 7) is None
+    assert warc.parsed(b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n", 0)[:2] == (31, 37)
+    assert warc.parsed(b"1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n", 7)[:2] == (31, 37)
+    assert warc._candidate(b"no magic\r\nContent-Length: 2\r\n\r\n", 0, False) is None
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("trap", ["", "\r\nWARC/1.1\r\nContent-Length: 9\r\n\r\n", "\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n"])
+def test_candidates_come_from_many_ranges_of_a_file(spark, tmp_path, small_splits, trap):
+    bodies = [f"page {i} " + ("x" * (i * 37 % 400)) + trap * (i % 3) + "\r\nWARC/1" * (i % 2) + "\r" * (i % 4) for i in range(40)]
+    df = spark.createDataFrame([(i, f"http://x/WARC/1.{i}", h) for i, h in enumerate(bodies)], "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "w")
+    warc.write_archives(df, path)
+    ranges = warc._rows(spark, path).select("path", "block").distinct()
+    assert ranges.count() > 20 and ranges.select("path").distinct().count() == 1
+    got = {r.page_id: r for r in warc.read_archives(spark, path, payloads=True).collect()}
+    assert {i: r.payload.decode() for i, r in got.items()} == dict(enumerate(bodies))
+    for i, h in enumerate(bodies):
+        assert (got[i].payload_bytes, got[i].payload_digest, got[i].url) == (len(h), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), f"http://x/WARC/1.{i}")
+
+
+def test_compressed_archives(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(PAGES)], "page_id long, url string, html string").coalesce(1)
+    plain = str(tmp_path / "w")
+    warc.write_archives(df, plain)
+    (file,) = (tmp_path / "w").glob("part-*")
+    data, offsets = file.read_bytes(), sorted(r.offset for r in warc.read_archives(spark, plain).collect())
+    members = [gzip.compress(data[a:b]) for a, b in zip(offsets, [*offsets[1:], len(data)], strict=True)]
+    for name, packed in (("each.warc.gz", b"".join(members)), ("all.warc.gz", gzip.compress(data))):
+        (tmp_path / name).write_bytes(packed)
+        rows = warc.read_archives(spark, str(tmp_path / name), payloads=True).collect()
+        assert sorted(r.offset for r in rows) == offsets and {r.page_id for r in rows} == set(range(len(PAGES)))
+
+
+def test_payloads_of_many_rows(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", "same") for i in range(50)] + [(100, "u", "same"), (0, "u", "same")], "page_id long, url string, html string")
+    rows = warc.archived(df).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in rows) == sorted([(0, "response", None)] * 2 + [(i, "revisit", 0) for i in [*range(1, 50), 100]])
 
 
 def test_a_long_url_in_the_middle(spark, tmp_path):
