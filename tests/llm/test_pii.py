@@ -105,3 +105,31 @@ def test_copies_are_no_evidence(docs):
     shared = [f"the report of w{i} and others" for i in range(30)]
     named = ["call Zylinder at john.doe@example.com"] * 3 + ["ask john.doe@example.com about the report"]
     assert all(r.terms == [] for r in pii.found_in(docs(named + shared)).collect())
+
+
+def test_running_folds_match_plain_ones(spark):
+    from turnloom.llm.common import running
+
+    df = spark.createDataFrame([(n, [(i * 7919) % 101 for i in range(n)]) for n in (0, 1, 2, 5, 6, 7, 40, 41, 500)], "n int, v array<bigint>")
+    got = df.select("n", "v", running(F.col("v"), lambda a, x: a + x, "bigint", block=6).alias("s"), running(F.col("v"), F.greatest, "bigint", block=6).alias("m")).collect()
+    for r in got:
+        assert r.s == [sum(r.v[: i + 1]) for i in range(r.n)] and r.m == [max(r.v[: i + 1]) for i in range(r.n)]
+
+
+def test_a_very_long_text_of_identifiers(docs):
+    text = "".join(f"Name{i % 5000} mail{i}@host{i % 90}.org 10.0.{i % 256}.{i // 256 % 256}\n" for i in range(60_000))  # over 2 MB
+    df = docs([text, "the report of others", "the report", "Name1 of the report"])
+    rows = {r.doc_id: r for r in pii.found_in(df).collect()}
+    base = brute(text)
+    assert len(rows[0].base) == len(base) == 120_000
+    assert [f"{pii.KINDS[s.kind]}:{s.start}:{s.end}" for s in rows[0].base[:: 997]] == base[::997]
+    assert len(rows[0].terms) == 60_000 - 12  # Name1 stands in another text, too
+    clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert clean[0] == "".join(f"{'Name1' if i % 5000 == 1 else '[REMOVED]'} [EMAIL] [IP]\n" for i in range(60_000))
+    assert clean[3] == "Name1 of the report"
+
+
+def test_one_id_on_two_texts(spark, docs):
+    df = docs(["ask a@b.cd now", "nothing here", "ask a@b.cd now", None], ids=[1, 1, 1, None])
+    rows = sorted((r.doc_id or 0, r.text or "", r.fp, r.n) for r in pii.sanitised(df).collect())
+    assert rows == [(0, "", "x", 1), (1, "[REMOVED] [EMAIL] [REMOVED]", "x", 1), (1, "[REMOVED] [EMAIL] [REMOVED]", "x", 1), (1, "nothing here", "x", 1)]

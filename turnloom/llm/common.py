@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\f\r"
 #: Rows up to which a table keyed by group may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 20_000
+#: The same for tables of two numbers, which are some 40 bytes a row once broadcast.
+BROADCAST_NUMBERS = 1_000_000
 #: Rows of a table up to which one key may hold all of them in a shuffled join.
 HOT_ROWS = 4_000_000
 
@@ -117,10 +119,10 @@ def small_or_plain(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def looked_up(big: DataFrame, small: DataFrame, on: str, rows: int, how: str = "left", salts: int = 32) -> DataFrame:
-    """big with the columns of small, one row for each value of `on`, whose rows were counted. Few rows are broadcast;
-    more are copied under `salts` numbers, over which the rows of a hot value are spread."""
-    if rows <= BROADCAST_ROWS:
+def looked_up(big: DataFrame, small: DataFrame, on: str, rows: int, how: str = "left", salts: int = 32, most: int = BROADCAST_ROWS) -> DataFrame:
+    """big with the columns of small, of few rows for each value of `on`, whose rows were counted. At most `most` rows are
+    broadcast; more are copied under `salts` numbers, over which the rows of a hot value are spread."""
+    if rows <= most:
         return big.join(F.broadcast(small), on, how)
     spread = big.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -5,17 +5,18 @@ n(e, t) / n(t), both over distinct whole texts: n(t) counts those with t outside
 hold e. The pointwise mutual information log(p(e | t) / p(e)), as a share of the entity's own information
 log(1 / p(e)), tells how much of e the term gives away: 1 if t never occurs without e, 0 if t says nothing. Terms at or
 above one threshold are generalised to their kind of word, at or above a higher one removed, wherever they stand, but
-only in documents that hold the entity. Entities of exactly the same texts are counted as one. Column expressions only.
+only in documents that hold the entity. Entities of exactly the same texts are counted as one. Column expressions only,
+of work in proportion to a text's length: places come from running sums, substrings from pieces of bounded length.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import let, small_or_plain, written
+from turnloom.llm.common import BROADCAST_NUMBERS, let, looked_up, running, written
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: Patterns by kind, in the order of the result. Loops are possessive: nothing follows that could need them shorter,
@@ -35,6 +36,8 @@ _TERM = r"[A-Za-z0-9\u0080-
 _NO_TERM = r"[^a-z0-9\u0080-￿]+"
 _TERM_KIND = len(KINDS)
 _PLACES = "array<struct<start:bigint,end:bigint,share:double>>"
+#: Code points of a piece that substrings are taken from.
+_PIECE = 1024
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -42,21 +45,24 @@ def matches(text: Column, pattern: str) -> Column:
 
     The text between matches gives their places: the pieces of a split on the pattern alternate with the matches.
     """
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def add(s: Column, x: Column) -> Column:
-        a = s["at"] + F.length(x["before"])
-        return let(F.struct(a.alias("a"), (a + F.length(x["value"])).alias("z")), lambda p: F.struct(
-            p["z"].alias("at"), F.array_append(s["out"], F.struct(p["a"].alias("start"), p["z"].alias("end"), x["value"].alias("value"))).alias("out")))
+    def placed(m: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m))
+        ends = running(F.zip_with(between, m, lambda b, v: (F.length(b) + F.length(v)).cast("long")), lambda a, x: a + x, "bigint")
+        return F.zip_with(m, ends, lambda v, e: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
 
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return let(
-        found,
-        lambda m: F.when(
-            F.size(m) > 0,
-            F.aggregate(F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)), m, lambda b, v: F.struct(b.alias("before"), v.alias("value"))), start, add)["out"],
-        ).otherwise(F.array().cast(_SPAN)),
-    )
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(F.array().cast(_SPAN)))
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+
+def _cut(pieces: Column, at: Column, n: Column) -> Column:
+    """n code points from `at` of the text that has these pieces, at a cost of those and a piece; none for n below 1."""
+    first, last = (F.floor(x / _PIECE).cast("int") for x in (at, at + n - 1))
+    taken = F.substr(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), (at % _PIECE + 1).cast("int"), n.cast("int"))
+    return F.when(n > 0, taken).otherwise(F.lit(""))
 
 
 def luhn(digits: Column) -> Column:
@@ -104,78 +110,81 @@ def _entity(s: Column) -> Column:
     return F.concat_ws(":", s["kind"].cast("string"), plain)
 
 
-def _replaced(text: Column, every: Column) -> Column:
-    """The text with the marks of every, a sorted array<struct(start, minus_end, mark)>, in place of what they cover."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def add(s: Column, x: Column) -> Column:
-        between = F.substr(text, (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))
-        out = F.when(x["start"] >= s["at"], F.concat(s["out"], F.array(between, x["mark"]))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], -x["minus_end"]).alias("at"), out.alias("out"))
+def _replaced(text: Column, every: Callable[[Column], Column], overlapped: Callable[[Column, Column], Column]) -> Column:
+    """The text with marks in place of spans. every(pieces of the text) gives them, a sorted array<struct(start, minus_end,
+    mark)>; a span that begins before the end of an earlier one gives overlapped(span, that end) instead of its mark."""
 
-    return F.aggregate(every, start, add, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, (s["at"] + 1).cast("int"), F.length(text))))
+    def built(pieces: Column, spans: Column, ends: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            return let(F.coalesce(F.get(ends, i - 1), F.lit(0).cast("long")), lambda at: F.when(
+                x["start"] >= at, F.concat(_cut(pieces, at, x["start"] - at), x["mark"])).otherwise(overlapped(x, at)))
 
+        last = F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0).cast("long"))
+        return F.concat(F.array_join(F.transform(spans, one), ""), let(last, lambda at: _cut(pieces, at, F.length(text) - at)))
 
-def _blanked(text: Column, base: Column) -> Column:
-    return _replaced(text, F.sort_array(F.transform(base, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), F.lit(" ").alias("mark")))))
+    ends = lambda spans: running(F.transform(spans, lambda x: -x["minus_end"]), F.greatest, "bigint")
+    return let(_pieces(text), lambda pieces: let(every(pieces), lambda spans: let(ends(spans), lambda e: built(pieces, spans, e))))
 
 
-def _terms_of(text: Column) -> Column:
-    return F.filter(F.array_distinct(F.split(F.lower(text), _NO_TERM)), lambda x: F.length(x) >= 3)
+def _marked(base: Column, mark: Callable[[Column], Column]) -> Column:
+    return F.transform(base, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), mark(s).alias("mark")))
 
 
-def _places(text: Column, base: Column, told: Column) -> Column:
-    """array<struct(start, end, share)>: wherever a term of told, array<struct(term, share)>, stands in the whole text
-    and is no part of an identifier. Only hits are appended, so long texts cost in proportion to their length."""
-    terms = F.transform(told, lambda x: x["term"])
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_PLACES).alias("out"))
+def _blanked(text: Column, base: Column) -> Column:
+    """The text with blanks in place of identifiers, so that all else stays where it is."""
+    blanks = lambda n: F.repeat(F.lit(" "), F.greatest(n, F.lit(0)).cast("int"))
+    marks = F.sort_array(_marked(base, lambda s: blanks(s["end"] - s["start"])))
+    return _replaced(text, lambda _: marks, lambda x, at: blanks(-x["minus_end"] - at))
 
-    def add(s: Column, x: Column) -> Column:
-        a = s["at"] + F.length(x["before"])
-        z = a + F.length(x["value"])
-        hit = let(F.array_position(terms, F.lower(x["value"])), lambda i: F.when(i > 0, F.array_append(s["out"], F.struct(a.alias("start"), z.alias("end"), F.get(told, (i - 1).cast("int"))["share"].alias("share")))).otherwise(s["out"]))
-        return F.struct(z.alias("at"), hit.alias("out"))
 
-    pairs = let(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), lambda m: F.zip_with(F.slice(F.split(text, _TERM, -1), F.lit(1), F.size(m)), m, lambda b, v: F.struct(b.alias("before"), v.alias("value"))))
-    return F.filter(F.aggregate(pairs, start, add)["out"], lambda t: ~F.exists(base, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+def _terms_of(text: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(F.lower(text), _NO_TERM)), lambda x: F.length(x) >= 3)
 
 
-def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, generalise: float = 0.9, remove: float = 0.98) -> DataFrame:
-    """Per document: doc_id, h (hash of its text), base (array of identifiers) and terms (array of struct(start, end,
-    share): the terms that disclose one of its identifiers, share at least `generalise`; at least `remove`: to go).
+def found_in(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, generalise: float = 0.9, carry: bool = False
+) -> DataFrame:
+    """Per row: doc_id, h (hash of its text), base (array of identifiers), terms (array of struct(start, end, share): the terms
+    that disclose one of its identifiers, share at least `generalise`) and, if asked for, row, a struct of all its columns.
 
     least: distinct texts that must show a term with an entity before it counts as evidence; all of the entity's texts
-    if it stands in fewer. Null text counts as empty; repeated texts count once; an empty table gives an empty one.
+    if it stands in fewer. Null text counts as empty; repeated rows and texts count once and are told each; very long
+    texts cost in proportion to their length; an empty table gives an empty one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
-    first = slim.select("doc_id", F.xxhash64("t").alias("h"), "t", identifiers(F.col("t")).alias("base"))
-    base = written(first.select("doc_id", "h", "base", F.when(F.size("base") > 0, F.col("t")).alias("t")), "identifiers")
-    copies = written(base.groupBy("h").agg(F.count("*").alias("copies"), F.max(F.size("base")).alias("held")), "copies")
+    more = [F.struct(*docs.columns).alias("row")] if carry else []
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("t"), *more)
+    first = slim.withColumn("base", identifiers(F.col("t"))).withColumn("t", F.when(F.size("base") > 0, F.col("t")))
+    base = written(first, "identifiers")
+    copies = written(base.groupBy("h").agg(F.count("*").alias("copies")), "copies")
     n_texts = float(max(copies.count(), 1))
     held = base.filter("t is not null")
-    texts = held.dropDuplicates(["h"]).select("h", F.array_distinct(F.transform("base", _entity)).alias("entities"), _terms_of(_blanked(F.col("t"), F.col("base"))).alias("words"))
+    occ = F.transform(matches(_blanked(F.col("t"), F.col("base")), _TERM), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lower(m["value"]).alias("term")))
+    texts = held.select("h", "t", "base").dropDuplicates(["h"]).select("h", F.array_distinct(F.transform("base", _entity)).alias("entities"), occ.alias("occ"))
     texts = written(texts, "held")
     in_text = texts.select("h", F.explode("entities").alias("entity"))
     of_entity = in_text.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64("h")).alias("e"))
     alike = written(in_text.join(of_entity, "entity").select("h", "n_e", "e").distinct(), "entities")
-    pairs = alike.join(texts.select("h", F.explode("words").alias("term")), "h")
+    said = texts.select("h", F.explode(F.array_distinct(F.transform("occ", lambda x: x["term"]))).alias("term"))
+    pairs = alike.join(said, "h")
     counts = pairs.groupBy("n_e", "e", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= F.least(F.lit(least), "n_e"))
-    # texts without identifiers as they are, those with some by the rows above; a text with copies counts once
-    more = copies.filter("held = 0 and copies > 1").select(F.col("h").alias("h_"), "copies")
-    plain = slim.select("t", F.xxhash64("t").alias("h")).join(small_or_plain(copies.filter("held > 0").select("h"), texts.count()), "h", "left_anti")
-    plain = plain.join(small_or_plain(more, more.count()), F.col("h") == F.col("h_"), "left")
+    # texts without identifiers as they are, a text with copies as one; those with some by the rows above
+    repeated = copies.filter("copies > 1")
+    plain = slim.filter(F.size(identifiers(F.col("t"))) == 0).select("h", "t")
+    plain = looked_up(plain, repeated, "h", repeated.count(), most=BROADCAST_NUMBERS)
     seen = plain.select(F.explode(_terms_of(F.col("t"))).alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("w"))
-    seen = seen.union(texts.select(F.explode("words"), F.lit(1.0)))
+    seen = seen.union(said.select("term", F.lit(1.0)))
     df = seen.groupBy("term").agg(F.round(F.sum("w")).alias("n_t"))
     own = F.log(F.lit(n_texts) / F.col("n_e"))
     share = F.when(own > 0, F.log(F.col("n_et") * n_texts / (F.col("n_e") * F.col("n_t"))) / own)
     telling = written(counts.join(df, "term").withColumn("share", share).filter(F.col("share") >= generalise).select("n_e", "e", "term", "share"), "telling")
-    told = pairs.join(telling, ["n_e", "e", "term"])
-    told = told.groupBy("h", "term").agg(F.max("share").alias("share")).groupBy("h").agg(F.collect_list(F.struct("term", "share")).alias("told"))
+    told = pairs.join(telling, ["n_e", "e", "term"]).groupBy("h", "term").agg(F.max("share").alias("share"))
+    placed = texts.select("h", F.explode("occ").alias("o")).select("h", "o.*").join(told, ["h", "term"])
+    placed = placed.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
     none = F.array().cast(_PLACES)
-    placed = held.join(told, "h", "left").select("doc_id", "h", "base", F.coalesce(_places(F.col("t"), F.col("base"), F.col("told")), none).alias("terms"))
-    return base.filter("t is null").select("doc_id", "h", "base", none.alias("terms")).union(placed)
+    kept = ["doc_id", "h", "base", *(["row"] if carry else [])]
+    spotted = looked_up(held.select(*kept), written(placed, "places"), "h", texts.count())
+    return base.filter("t is null").select(*kept, none.alias("terms")).unionByName(spotted.withColumn("terms", F.coalesce("terms", none)))
 
 
 def _count(kind: int) -> Column:
@@ -190,27 +199,27 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, base: Column, terms: Column, remove: float = 0.98) -> Column:
-    """The text with identifiers replaced by their kind and telling terms by their kind of word, or by a gap mark.
+    """The text with identifiers replaced by their kind and telling terms by their kind of word, or by a gap mark where their
+    share is at least `remove`.
 
     Where spans overlap, the one that begins first, then the longest, is replaced, and what others have beyond it goes too.
     """
     kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    marks = F.transform(base, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), F.get(kinds, s["kind"]).alias("mark")))
 
-    def word(t: Column) -> Column:
-        w = F.substr(text, (t["start"] + 1).cast("int"), (t["end"] - t["start"]).cast("int"))
-        kind = F.when(w.rlike("[0-9]"), F.lit("[NUMBER]")).when(F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1)), F.lit("[NAME]")).otherwise(F.lit("[WORD]"))
-        return F.struct(t["start"].alias("start"), (-t["end"]).alias("minus_end"), F.when(t["share"] >= remove, F.lit("[REMOVED]")).otherwise(kind).alias("mark"))
+    def every(pieces: Column) -> Column:
+        def word(t: Column) -> Column:
+            kind = let(_cut(pieces, t["start"], t["end"] - t["start"]), lambda w: F.when(w.rlike("[0-9]"), F.lit("[NUMBER]")).when(
+                F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1)), F.lit("[NAME]")).otherwise(F.lit("[WORD]")))
+            return F.when(t["share"] >= remove, F.lit("[REMOVED]")).otherwise(kind)
+
+        return F.sort_array(F.concat(_marked(base, lambda s: F.get(kinds, s["kind"])), _marked(terms, word)))
 
-    return F.when(F.size(base) > 0, _replaced(text, F.sort_array(F.concat(marks, F.transform(terms, word))))).otherwise(text)
+    return F.when(F.size(base) > 0, _replaced(text, every, lambda x, at: F.lit(""))).otherwise(text)
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with identifiers and telling terms replaced in text_col; other columns and texts without any as they were."""
-    found = found_in(docs, id_col, text_col)
-    found = found.filter(F.size("base") > 0).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("base").alias("__base"), F.col("terms").alias("__terms"))
-    found = found.dropDuplicates(["__id", "__h"])  # rows alike have spans alike
-    h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (h == F.col("__h")), "left")
-    clean = F.when(F.col("__h").isNotNull(), redacted(F.col(text_col), F.col("__base"), F.col("__terms"))).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, clean).select(*docs.columns)
+    """docs with identifiers and telling terms replaced in text_col; other columns and texts without any as they were. Each
+    row's verdict stays beside it, so rows alike or of one id are sanitised each."""
+    found = found_in(docs, id_col, text_col, carry=True)
+    clean = redacted(F.col(f"row.{text_col}"), F.col("base"), F.col("terms")).alias(text_col)
+    return found.select(*(clean if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns))
