@@ -20,6 +20,29 @@ def test_ids_match_the_tokenizer():
         assert np.frombuffer(e.packed((text or "").encode()), dtype="<u4").tolist() == want, text
 
 
+def test_marks_behind_every_character():
+    t, e = Tokenizer.from_file(PATH), packing.WordEncoder(PATH)
+    codes = [*range(33, 0xD800), *range(0xE000, 0x10000), *range(0x1D400, 0x1D800)]
+    words = [f"a{chr(c)}{',.!'[c % 3]}" for c in codes] + ["[İ:", "&-A{Bİ!"]
+    for w, x in zip(words, t.encode_batch_fast(words, add_special_tokens=False), strict=True):
+        assert np.frombuffer(e.packed(w.encode()), dtype="<u4").tolist() == x.ids, hex(ord(w[1]))
+
+
+def test_long_words_are_not_remembered():
+    t, e = Tokenizer.from_file(PATH), packing.WordEncoder(PATH)
+    long = "日本" * 5000 + "x"
+    text = f"{long} short {long}, short {long},, end."
+    for _ in range(2):
+        assert np.frombuffer(e.packed(text.encode()), dtype="<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert max(map(len, e.young)) <= 64 and b"short" in e.young
+
+
+def test_rows_alike_fill_many_shards(docs):
+    rows = packing.pack(docs(["one two three"] * 600, ids=[7] * 600), PATH, capacity=64, shard_pieces=50).collect()
+    assert len(rows) == 600 and {r.doc_id for r in rows} == {7}
+    assert len({r.sequence_id >> 32 for r in rows}) > 6
+
+
 def check(rows, texts, capacity):
     t = Tokenizer.from_file(PATH)
     by_doc, by_seq = {}, {}

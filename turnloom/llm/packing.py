@@ -23,6 +23,8 @@ from turnloom.llm.common import written
 
 #: Words of a generation whose ids a worker remembers, at about 200 bytes each.
 _REMEMBERED = 700_000
+#: Bytes of the longest word that is remembered: a text without white space is one word.
+_LONGEST = 64
 #: Marks that the tokenizer parts from a letter or digit before them.
 _MARKS = b".,;:!?%&$*#|"
 
@@ -36,9 +38,12 @@ def _tokenizer(path: str):
 
 
 def _ends_plain(core: bytes) -> bool:
-    """Whether the last character is a letter or number; other signs would stay together with marks behind them."""
-    last = core.decode("utf-8", "replace")[-1:] if core and core[-1] > 127 else core[-1:].decode()
-    return last.isalpha() or last != "" and unicodedata.category(last)[0] == "N"
+    """Whether the last character, normalised and in lower case, is letters or numbers alone; other signs would stay
+    together with marks behind them, combining ones included, which some letters end in once they are normalised."""
+    if not core or core[-1] < 128:
+        return core[-1:].isalnum()
+    last = core[-4:].decode("utf-8", "ignore")[-1:]
+    return last != "" and all(unicodedata.category(c)[0] in "LN" for c in unicodedata.normalize("NFC", last).lower())
 
 
 class WordEncoder:
@@ -46,8 +51,8 @@ class WordEncoder:
 
     Each distinct word is encoded once and remembered as packed little-endian ids; a word that ends in plain marks is
     looked up without them, as the tokenizer parts marks from what precedes them. What may be a special token, whose
-    letters' case counts, goes to the tokenizer as it is. Memory is two generations of words: when the younger is
-    full it becomes the older, so words in use stay.
+    letters' case counts, goes to the tokenizer as it is. Memory is two generations of words of at most _LONGEST
+    bytes: when the younger is full it becomes the older, so words in use stay. Longer words are forgotten with their text.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,13 +62,18 @@ class WordEncoder:
         tokens = text.split() if b"<|" in text else text.lower().split()  # at the six ASCII white-space bytes only
         young = self.young
         if new := [w for w in dict.fromkeys(tokens) if w not in young]:
-            self._learn(new)
+            ids_of = young.__getitem__
+            if long := self._learn(new):
+                ids_of = lambda w: young[w] if w in young else long[w]
+            out = b"".join(map(ids_of, tokens))
             if len(young) > _REMEMBERED:
-                self.old, self.young = young, {w: young[w] for w in dict.fromkeys(tokens)}
+                self.old, self.young = young, {}
+            return out
         return b"".join(map(young.__getitem__, tokens))
 
-    def _learn(self, new: list[bytes]) -> None:
-        young, old = self.young, self.old
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Remember the ids of new words; those of the long ones are returned."""
+        young, old, found = self.young, self.old, {}
         parts = {}
         for w in new:
             if w in old:
@@ -71,12 +81,14 @@ class WordEncoder:
             else:
                 core = w if b"<|" in w else w.rstrip(_MARKS)
                 parts[w] = (core, w[len(core) :]) if _ends_plain(core) else (w, b"")
-        ask = [x for x in dict.fromkeys(x for pair in parts.values() for x in pair) if x and x not in young and x not in old]
+        for x in dict.fromkeys(x for pair in parts.values() for x in pair):
+            found[x] = young.get(x) or old.get(x) if x else b""
+        ask = [x for x, ids in found.items() if ids is None]
         for x, e in zip(ask, _tokenizer(self.path).encode_batch_fast([x.decode() for x in ask], add_special_tokens=False), strict=True):
-            young[x] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        get = lambda x: young[x] if x in young else old[x] if x in old else b""  # noqa: E731  the empty end has no ids
-        for w, (core, marks) in parts.items():
-            young[w] = get(core) + get(marks)
+            found[x] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        found |= {w: found[core] + found[marks] for w, (core, marks) in parts.items()}
+        young |= {x: ids for x, ids in found.items() if 0 < len(x) <= _LONGEST}
+        return {x: ids for x, ids in found.items() if len(x) > _LONGEST}
 
 
 @lru_cache(maxsize=1)
@@ -141,14 +153,16 @@ def pack(
 
     A document is its text's ids and then end_id; null text counts as empty, so every document has a piece. Only
     documents longer than a sequence are cut. Pieces that fill a sequence have it to themselves; the others are dealt
-    by a hash into shards of about `shard_pieces`, and each shard is packed by itself, longest first (the rule then
-    closes large gaps last, with the smallest pieces), which costs at most a few open sequences a shard. Ties in
-    length go by doc_id and piece; repeated rows are packed each. An empty table gives an empty one.
+    by a hash with their row's number into shards of about `shard_pieces`, and each shard is packed by itself, longest
+    first (the rule then closes large gaps last, with the smallest pieces), which costs at most a few open sequences a
+    shard. Ties in length go by doc_id and piece; repeated rows are packed each; null ids stay null. A very long text
+    needs memory in proportion to itself while it is cut. An empty table gives an empty one.
     """
     cut = written(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
     full, rest = cut.filter(F.col("length") == capacity), cut.filter(F.col("length") < capacity)
     shards = max(1, math.ceil(rest.count() / shard_pieces))
-    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("long"))
+    row = F.monotonically_increasing_id()  # of a written table; rows alike fall into different shards
+    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", row), F.lit(shards)).cast("long"))
 
     def place(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
