@@ -62,6 +62,22 @@ def test_edges(spark, docs):
     assert len(one.thresholds) == 0
 
 
+def test_cut_comes_from_held_out_ratings():
+    assert c.best_cut(np.array([0.1, 0.2, 0.7, 0.9]), np.array([False, False, True, True])) == c.best_cut(np.array([0.2, 0.7]), np.array([False, True]))
+    assert 0.2 < c.best_cut(np.array([0.1, 0.2, 0.7, 0.9]), np.array([False, False, True, True])) < 0.7
+    assert 0.5 < c.best_cut(np.array([0.1, 0.6, 0.5, 0.9] * 2 + [0.95]), np.array([False, False, True, True] * 2 + [True])) < 0.9
+    assert c.best_cut(np.array([0.5, 0.5]), np.array([True, False])) == 0.5 == c.best_cut(np.array([0.9]), np.array([True]))
+
+
+def test_bounds_are_ordered_and_ids_count_once(spark, docs):
+    texts, grades = data(200, 5)
+    df, rated = docs([*texts, *texts, None], ids=[*range(200), *range(200), 3]), c.graded(labels(spark, grades))
+    whole, again = c.train(df, rated), c.train(df.repartition(7), rated)
+    assert (whole.weights == again.weights).all() and whole.cut == again.cut
+    few, by_bytes = c.train(df, rated, most_rows=50), c.train(df, rated, most_bytes=5000)
+    assert len(few.thresholds) and len(by_bytes.thresholds) and (few.weights != whole.weights).any() and (by_bytes.weights != whole.weights).any()
+
+
 def test_gradient_is_right():
     rng = np.random.default_rng(3)
     features = [np.unique(rng.integers(0, 30, size=6)).astype(np.int32) for _ in range(80)]

@@ -3,7 +3,7 @@
 P(grade <= k) = sigmoid(threshold_k - score), thresholds in ascending order; the score is a sum of shared weights over
 a text's distinct features. A word gives two features: the word without punctuation at its ends, and its shape (what
 punctuation it carries and how it is capitalised), both hashed. Scores give the expected grade and the probability of
-the top grade; the latter selects documents.
+the top grade; the latter selects documents, from a cut that rated documents held out of a first fit decide.
 """
 
 from __future__ import annotations
@@ -14,21 +14,25 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.llm.common import written
+
 #: Stripped from a word's ends; what was stripped is part of its shape.
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-#: Words whose features or weights a task remembers before it forgets all.
-_REMEMBERED = 300_000
+#: Words whose features or weights a task remembers before it forgets all, and bytes of the longest that it remembers.
+_REMEMBERED, _LONGEST = 300_000, 64
 
 
 @dataclass
 class Model:
-    """weights by hashed feature and ascending thresholds; with no thresholds nothing was learned and all is kept."""
+    """weights by hashed feature and ascending thresholds; with no thresholds nothing was learned and all is kept. cut is the
+    least probability of the top grade that is kept."""
 
     weights: np.ndarray
     thresholds: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    cut: float = 0.5
 
     def probabilities(self, scores: np.ndarray) -> np.ndarray:
         """P(grade > k) for every threshold k, by columns."""
@@ -51,7 +55,9 @@ def text_features(text: bytes | None, buckets: int, known: dict) -> np.ndarray:
     for w in set(text.split()) if text else ():
         f = known.get(w)
         if f is None:
-            f = known[w] = word_features(w, buckets)
+            f = word_features(w, buckets)
+            if len(w) <= _LONGEST:
+                known[w] = f
         found.update(f)
     return np.array(sorted(found), dtype=np.int32)
 
@@ -146,21 +152,56 @@ def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.filter("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade"))
 
 
-def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 18, most_rows: int = 12_000) -> Model:
-    """Fit on at most most_rows rated documents, those whose ids hash smallest; only their features reach the driver."""
-    chosen = ratings.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(most_rows).select("id", "grade")
+def best_cut(probabilities: np.ndarray, top: np.ndarray) -> float:
+    """The cut between probabilities of the top grade that loses the least: the share of top documents below it plus the
+    share of others from it on. Among equal ones, the middle of the widest gap on the scale of log odds."""
+    if top.all() or not top.any():
+        return 0.5
+    odds = np.log(np.clip(probabilities, 1e-9, 1 - 1e-9)) - np.log1p(-np.clip(probabilities, 1e-9, 1 - 1e-9))
+    order = np.argsort(odds, kind="stable")
+    odds, top = odds[order], top[order]
+    lost = np.cumsum(top)[:-1] / top.sum() + 1 - np.cumsum(~top)[:-1] / (~top).sum()
+    gap = np.diff(odds)
+    lost = np.where(gap > 0, lost, np.inf)  # no cut parts documents of one probability
+    if not np.isfinite(lost).any():
+        return 0.5
+    i = max(np.flatnonzero(lost <= lost.min() + 1e-12), key=lambda j: (gap[j], -j))
+    return float(1 / (1 + np.exp(-(odds[i] + odds[i + 1]) / 2)))
+
+
+def train(
+    docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 18, most_rows: int = 12_000, most_bytes: int = 64 << 20
+) -> Model:
+    """Fit on at most most_rows rated documents, those whose ids hash smallest, of which as many as have most_bytes of features
+    in that order; only these features reach the driver.
+
+    Of several documents with one id the one whose features come first as bytes counts; null texts have none. A model
+    fitted on four fifths rates the last fifth, from which best_cut() takes the cut; the model itself is fitted on all.
+    """
+    chosen = ratings.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(most_rows).select("h", "id", "grade")
     joined = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).join(F.broadcast(chosen), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for b in batches:
             f = [text_features(t, buckets, known).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.binary()), b.column(2).cast(pa.int32())], names=["id", "f", "grade"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.binary()), b.column(2), b.column(3).cast(pa.int32())], names=["id", "f", "h", "grade"])
 
-    rows = joined.mapInArrow(run, "id long, f binary, grade int").limit(2 * most_rows).toArrow().sort_by([("id", "ascending"), ("f", "ascending")])
+    made = joined.select("id", "t", "h", "grade").mapInArrow(run, "id long, f binary, h long, grade int")
+    made = written(made.groupBy("h", "id").agg(F.min("f").alias("f"), F.min("grade").alias("grade")), "features")
+    upto = Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)  # over at most most_rows short rows
+    sizes = made.select("h", "id", F.octet_length("f").alias("b")).withColumn("b", F.sum("b").over(upto)).filter(F.col("b") <= most_bytes)
+    rows = made.join(F.broadcast(sizes.select("id")), "id", "left_semi").toArrow().sort_by([("h", "ascending"), ("id", "ascending")])
     if not rows.num_rows:
         return Model(np.zeros(buckets, dtype=np.float32))
-    return fit([np.frombuffer(x, dtype=np.int32) for x in rows["f"].to_pylist()], rows["grade"].to_numpy().astype(np.int64), buckets)
+    features, grades = [np.frombuffer(x, dtype=np.int32) for x in rows["f"].to_pylist()], rows["grade"].to_numpy().astype(np.int64)
+    model = fit(features, grades, buckets)
+    held = np.arange(len(features)) % 5 == 4
+    first = fit([f for f, h in zip(features, held, strict=True) if not h], grades[~held], buckets) if held.any() else model
+    if len(first.thresholds):
+        scores = np.array([first.weights[f].sum(dtype=np.float64) for f, h in zip(features, held, strict=True) if h])
+        model.cut = best_cut(first.probabilities(scores)[:, -1], grades[held] == grades.max())
+    return model
 
 
 def _scores(texts: list, model: Model, known: dict, weight: list[float]) -> np.ndarray:
@@ -173,30 +214,33 @@ def _scores(texts: list, model: Model, known: dict, weight: list[float]) -> np.n
         for w in set(t.split()) if t else ():
             f = known.get(w)
             if f is None:
-                f = known[w] = tuple(x for x in word_features(w, buckets) if weight[x])
+                f = tuple(x for x in word_features(w, buckets) if weight[x])
+                if len(w) <= _LONGEST:
+                    known[w] = f
             found.update(f)
         scores[i] = sum(map(weight.__getitem__, sorted(found)))
     return model.probabilities(scores) if len(model.thresholds) else np.ones((len(texts), 1))
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.25) -> DataFrame:
-    """The id, expected_grade, tail_probability (of the top grade) and kept (tail_probability >= least) of every document.
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id, expected_grade, tail_probability (of the top grade) and kept (tail_probability >= model.cut) of every document.
 
-    Null and empty texts score as texts without features; repeated rows stay; an empty table gives an empty one.
+    Null and empty texts score as texts without features; repeated rows stay; an empty table gives an empty one. Of a
+    very long text its distinct words are held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, known = model.weights.tolist(), {}
         for b in batches:
             p = _scores(b.column(1).to_pylist(), model, known, weight)
-            cols = [b.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, -1]), pa.array(p[:, -1] >= least)]
+            cols = [b.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, -1]), pa.array(p[:, -1] >= model.cut)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "expected_grade", "tail_probability", "kept"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
     return slim.mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, kept boolean")
 
 
-def selected(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.25) -> DataFrame:
+def selected(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs that scored() keeps, with all their columns, in one pass and without a join."""
     at = docs.columns.index(text_col)
 
@@ -204,6 +248,6 @@ def selected(docs: DataFrame, model: Model, text_col: str = "text", least: float
         weight, known = model.weights.tolist(), {}
         for b in batches:
             p = _scores(b.column(at).cast(pa.binary()).to_pylist(), model, known, weight)
-            yield b.filter(pa.array(p[:, -1] >= least))
+            yield b.filter(pa.array(p[:, -1] >= model.cut))
 
     return docs.mapInArrow(run, docs.schema)
