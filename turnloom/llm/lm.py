@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,8 +69,8 @@ def _decoded(blob: bytes, kind: type) -> np.ndarray:
 
 
 def key_bits(n_bytes: int) -> int:
-    """Bits of a key: so many that of a table's n-grams, one to a few bytes, a wrong one matches with 2 ** -30 at most."""
-    return min(63, 30 + max(1, int(n_bytes * _NGRAMS)).bit_length())
+    """Bits of a key: so many that some wrong one of a table's n-grams matches it with a probability of 2 ** -26 at most."""
+    return min(63, 26 + max(1, int(n_bytes * _NGRAMS)).bit_length())
 
 
 class Chunk:
@@ -155,7 +156,7 @@ class Chunk:
         out["score"] = np.array(list(self._read(self._automaton(c1, c2, c3, n, v, once, twice, mu)))) if n else np.zeros(len(self.starts))
         return out  # with nothing to learn from, all tokens are unknown, the only event there is
 
-    def _automaton(self, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, n: int, v: int, once: int, twice: int, mu: tuple[float, float]) -> dict[str, list]:
+    def _automaton(self, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, n: int, v: int, once: int, twice: int, mu: tuple[float, float]) -> dict[str, array]:
         """The automaton's arcs that this chunk's n-grams can take. States: 0 is the root, 1 + w a word, 1 + W + p a pair.
         Arcs are numbered as the n-grams are; 0.0 stands for no arc, as no probability here is one."""
         w = len(c1)
@@ -168,20 +169,20 @@ class Chunk:
         p3 = (c3 + mu[1] * p2[suffix]) / (c2[left3] + mu[1])
         state1 = np.where(c1 > 0, 1 + np.arange(w), 0)
         state2 = np.where(c2 > 0, 1 + w + np.arange(len(c2)), 0)  # read only behind arcs, which have counts
-        return {
-            "arc1": np.log10(p1).tolist(), "to1": state1.tolist(),
-            "arc2": np.where(c2 > 0, np.log10(p2), 0.0).tolist(), "to2": state2.tolist(),
-            "arc3": np.where(c3 > 0, np.log10(p3), 0.0).tolist(), "to3": state2[suffix].tolist(),
-            "fail1": np.log10(mu[0] / (c1 + mu[0])).tolist(), "fail2": np.log10(mu[1] / (c2 + mu[1])).tolist(), "back": (1 + right).tolist(), "start": int(state1[self.edge]),
+        weights = {
+            "arc1": np.log10(p1), "arc2": np.where(c2 > 0, np.log10(p2), 0.0), "arc3": np.where(c3 > 0, np.log10(p3), 0.0),
+            "fail1": np.log10(mu[0] / (c1 + mu[0])), "fail2": np.log10(mu[1] / (c2 + mu[1])),
         }
+        states = {"to1": state1, "to2": state2, "to3": state2[suffix], "back": 1 + right, "start": state1[self.edge : self.edge + 1]}
+        return {k: array("d", x.tobytes()) for k, x in weights.items()} | {k: array("i", x.astype(np.int32).tobytes()) for k, x in states.items()}
 
-    def _read(self, a: dict[str, list]) -> Iterator[float]:
+    def _read(self, a: dict[str, array]) -> Iterator[float]:
         """The log10 of each text's probability: one pass from left to right that carries the state."""
         arc1, to1, arc2, to2, arc3, to3, fail1, fail2, back = (a[k] for k in ("arc1", "to1", "arc2", "to2", "arc3", "to3", "fail1", "fail2", "back"))
         w = len(arc1)
         ends = [*self.starts[1:].tolist(), len(self.local)]
         for at, end in zip(self.starts.tolist(), ends, strict=True):
-            state, score = a["start"], 0.0
+            state, score = a["start"][0], 0.0
             for word, pair, triple in zip(self.local[at:end].tolist(), self.pair_at[at:end].tolist(), self.triple_at[at:end].tolist(), strict=True):
                 if state > w:  # a pair
                     if weight := arc3[triple]:
