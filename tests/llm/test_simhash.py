@@ -91,3 +91,15 @@ def test_components_of_paths_stars_and_loops(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(n + 1)) and all(got[1000 + i] == 1000 for i in range(50))
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    hot = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), hot_rows=10).collect()}
+    assert hot == got
+
+
+def test_hot_fingerprints_and_groups(docs):
+    texts = ["the same boilerplate of a site"] * 300 + [None] * 50 + [f"w{i} x{i} y{i} z{i}" for i in range(20)]
+    plain, hot = (sorted((r.id, r.fp, r.component_id) for r in s.near_duplicates(docs(texts), hot_rows=n).collect()) for n in (10**9, 20))
+    assert plain == hot and len(plain) == len(texts)
+
+
+def test_segments_grow_with_the_table():
+    assert s.segments_for(1000) == 5 and s.segments_for(10**9) == 5 and 5 < s.segments_for(10**10) <= s.segments_for(10**12) <= 15

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import written
+from turnloom.llm.common import HOT_ROWS, joined_by_hot_key, written
 from turnloom.llm.graph import connected_components
 
 BITS = 64
@@ -141,18 +141,31 @@ def link_edges(fps: DataFrame, bits: int = 2, segments: int = 5, bucket: int = 2
     return edges.distinct()
 
 
+def segments_for(fingerprints: int, bits: int = 2) -> int:
+    """Boxes whose chains of equal ones make keys long enough that few fingerprints of a table share one by chance."""
+    for segments in range(2 * bits + 1, 16, bits):
+        boxes = max(n for n in range(1, segments + 1) if n * bits < segments)
+        if fingerprints <= 64 << (BITS * boxes // segments):
+            break
+    return segments
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2, segments: int = 5, bucket: int = 256
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2, segments: int | None = None, bucket: int = 256, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """One row per document: id, fp (signed long) and component_id, the smallest id its links reach.
 
     Documents with equal fingerprints are one node, so copies never form pairs. Null and empty texts have fingerprint
     0 and link like any other; an empty table gives an empty one; rows with repeated ids stay, each with its text's
-    fingerprint. Null ids keep their row but never name a group that has other ids.
+    fingerprint. Null ids keep their row but never name a group that has other ids. A very long text is hashed in blocks,
+    beside the list of its words. Fingerprints or groups of more than hot_rows rows are joined by broadcast. segments
+    go by the number of distinct fingerprints, if not given.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle), "fps")
-    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    parts = connected_components(link_edges(nodes.select("fp"), bits, segments, bucket))
-    joined = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    named = joined.groupBy("c").agg(F.min("least").alias("component_id")).join(joined.select("c", "fp"), "c")
-    return prints.join(named.select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "nodes")
+    parts = connected_components(link_edges(nodes.select("fp"), bits, segments or segments_for(nodes.count(), bits), bucket), hot_rows=hot_rows)
+    joined = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("c"))
+    joined = written(joined, "groups")
+    names = written(joined.groupBy("c").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "names")
+    named = written(joined_by_hot_key(joined.select("c", "fp", "n"), names, "c", "size", hot_rows).select("fp", "component_id", "n"), "named")
+    return joined_by_hot_key(prints, named, "fp", "n", hot_rows).select("id", "fp", "component_id")
