@@ -41,3 +41,37 @@ def test_ties_and_no_rows(spark):
     made = c.format_conversations(turns.withColumn("parts", c.text_parts(F.col("text"))))
     assert made.first().formatted == "<s>[INST]z[/INST][INST]a[/INST][INST]a[/INST][INST]b[/INST]"
     assert c.format_conversations(turns.limit(0).withColumn("parts", c.text_parts(F.col("text")))).count() == 0
+
+
+def test_parts_are_read_back(spark):
+    image, audio = ("image", None, "a.png", 1, 1, None, None), ("audio", None, None, None, None, None, None)
+    text = lambda t: ("text", t, None, None, None, None, None)
+    bodies = [
+        [text("[IMG]"), image, text("x [AUDIO]")], [text("[IM"), text("G]"), text("\\"), text("[/INST]")], [image, image, audio], [text("<"), image, text("/s>")],
+        [text("a\\~b"), text("~"), ("odd", "kind", None, None, None, None, None)], [None, text(None)], [], None,
+    ]
+    turns = spark.createDataFrame([(1, i, r, b, "x") for i, b in enumerate(bodies) for r in ["user"]], f"conv_id long, turn long, role string, parts {c.PART}, body string")
+    (row,) = c.format_conversations(turns).select(c.read_parts(F.col("formatted")).alias("t")).collect()
+
+    def joined(body):
+        out = []
+        for p in body or []:
+            if p and p[0] in c.KINDS:
+                out.append((p[0], None))
+            elif p and p[1]:
+                out[-1:] = [("text", out[-1][1] + p[1])] if out and out[-1][0] == "text" else [*out[-1:], ("text", p[1])]
+        return out
+
+    assert [[tuple(p) for p in t.parts] for t in row.t] == [joined(b) for b in bodies]
+
+
+def test_typed_parts_match_sql(spark, sf):
+    import duckdb
+
+    from turnloom.llm.queries import oracle_sql, typed_parts
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    ran = db.execute(oracle_sql()["typed_parts"])
+    names = [d[0] for d in ran.description]
+    assert sorted(map(tuple, typed_parts(spark, sf).select(*names).collect())) == sorted(ran.fetchall())

@@ -2,11 +2,14 @@
 
 A message's parts are visited in order: text is escaped, images, audio and documents become placeholders with their
 place among the conversation's attachments. Escaping doubles every backslash and puts one behind the first character
-of each control string, so no control string of the template occurs in escaped text, and one pass undoes it.
+of each control string, so no control string of the template occurs in escaped text; a backslash and a tilde, which
+stand for nothing, keep two texts apart that follow each other and could form one together. One pass undoes all of it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +37,7 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, "(?s)\\\\(.)", "$1")
+    return F.regexp_replace(text, "(?s)\\\\(?:~|(.))", "$1")
 
 
 def tokens_of(part: Column, patch: int = 16, audio_rate: float = 12.5, page_tokens: int = 512) -> Column:
@@ -51,15 +54,20 @@ def tokens_of(part: Column, patch: int = 16, audio_rate: float = 12.5, page_toke
 def visit(parts: Column) -> Column:
     """struct(body, attachments): the parts' text with placeholders, in order, and array<struct(type, ref, tokens)>.
 
-    Null parts count as none; null texts as empty; parts of unknown type as text.
+    Null arrays count as none; null parts and null texts as empty text; parts of unknown type as text.
     """
-    placed = F.transform(parts, lambda p: _placed(p))
+    apart = lambda p, i: F.when((i > 0) & ~_attached(p) & ~_attached(F.get(parts, i - 1)), F.lit("\\~")).otherwise(F.lit(""))
+    placed = F.transform(parts, lambda p, i: F.concat(apart(p, i), _placed(p)))
     kept = F.filter(parts, lambda p: p["type"].isin(*KINDS))
     attachments = F.transform(kept, lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), tokens_of(p).alias("tokens")))
     none = F.array().cast("array<struct<type:string,ref:string,tokens:bigint>>")
     return F.struct(F.coalesce(F.concat_ws("", placed), F.lit("")).alias("body"), F.coalesce(attachments, none).alias("attachments"))
 
 
+def _attached(p: Column) -> Column:
+    return F.coalesce(p["type"].isin(*KINDS), F.lit(False))
+
+
 def _placed(p: Column) -> Column:
     out = None
     for kind, mark in KINDS.items():
@@ -89,7 +97,9 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
     """One row a conversation: id, formatted, loss_spans (array<struct(start, end)> of assistant bodies in code points,
     end exclusive), attachments (in order, over all turns) and expanded_tokens (their tokens).
 
-    Turns go by turn number; ties by role, then body; a null turn comes first. A null id is a conversation of its own.
+    Turns go by turn number; ties by role, then body; rows alike are a turn each; a null turn comes first. A null id is a
+    conversation of its own; other columns play no part; no rows give none. A conversation is one row, so its length
+    bounds a task's memory; texts of any length are escaped in one pass.
     """
     slim = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), visit(F.col(parts_col)).alias("v"))
     laid = slim.select("conv_id", "turn", "role", "v.body", "v.attachments", _turn(F.struct("role", "v.body")).alias("text"))
@@ -107,9 +117,8 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
     )
 
 
-def read_turns(formatted: Column) -> Column:
-    """array<struct(role, text)> from a formatted conversation. Placeholders stay in the text as their control strings,
-    which no text of their own could have given."""
+def _read(formatted: Column, content: Callable[[Column], Column], name: str) -> Column:
+    """array<struct(role, name)> of a formatted conversation, with content(escaped body) as what is called name."""
     closing = "|".join(_quoted(z) for _, z in (*MARKS.values(), OTHER))
     body = F.substring(formatted, len(START) + 1, 2**31 - 1 - len(START))
     pieces = F.filter(F.split(body, f"(?<={closing})"), lambda p: p != "")
@@ -117,15 +126,35 @@ def read_turns(formatted: Column) -> Column:
     def turn(p: Column) -> Column:
         out = None
         for role, (a, z) in MARKS.items():
-            inner = F.struct(F.lit(role).alias("role"), unescape(F.substr(p, F.lit(len(a) + 1), F.length(p) - len(a) - len(z))).alias("text"))
+            inner = F.struct(F.lit(role).alias("role"), content(F.substr(p, F.lit(len(a) + 1), F.length(p) - len(a) - len(z))).alias(name))
             out = F.when(F.startswith(p, F.lit(a)), inner) if out is None else out.when(F.startswith(p, F.lit(a)), inner)
         inside = F.substr(p, F.lit(len(OTHER[0]) + 1), F.length(p) - len(OTHER[0]) - len(OTHER[1]))
-        named = let(F.split(inside, "\\[NAME\\]", 2), lambda x: F.struct(unescape(x[0]).alias("role"), unescape(x[1]).alias("text")))
+        named = let(F.split(inside, "\\[NAME\\]", 2), lambda x: F.struct(unescape(x[0]).alias("role"), content(x[1]).alias(name)))
         return out.otherwise(named)
 
     return F.transform(pieces, turn)
 
 
+def read_turns(formatted: Column) -> Column:
+    """array<struct(role, text)> of a formatted conversation. Placeholders stay in the text as their control strings; where
+    texts may hold such strings themselves, read_parts() tells them apart."""
+    return _read(formatted, unescape, "text")
+
+
+def read_parts(formatted: Column) -> Column:
+    """array<struct(role, parts)> of a formatted conversation, parts an array<struct(type, text)>: placeholders by their type,
+    with null text, and the texts between them: those that follow each other have become one, and empty ones are gone."""
+    marks = "|".join(_quoted(m) for m in KINDS.values())
+
+    def part(piece: Column) -> Column:
+        kind = F.coalesce(*(F.when(piece == m, F.lit(k)) for k, m in KINDS.items()))
+        return F.struct(F.coalesce(kind, F.lit("text")).alias("type"), F.when(kind.isNull(), unescape(piece)).alias("text"))
+
+    split = lambda body: F.filter(F.split(body, f"(?={marks})|(?<={marks})"), lambda x: x != "")
+    told = lambda body: F.filter(F.transform(split(body), part), lambda p: p["text"].isNull() | (p["text"] != ""))
+    return _read(formatted, told, "parts")
+
+
 def digests(formatted: DataFrame) -> DataFrame:
     """Per conversation what its formatted text and loss mask give back."""
     turns = read_turns(F.col("formatted"))

@@ -55,6 +55,27 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatfmt.digests(chatfmt.format_conversations(turns.withColumn("parts", chatfmt.text_parts(F.col("text")))))
 
 
+def _typed(turns: DataFrame) -> DataFrame:
+    """turns with parts: the text, then pictures, recordings and documents on some turns, and texts that look like them."""
+    part = lambda kind, when=None, **given: F.when(F.lit(True) if when is None else F.expr(when), F.struct(
+        F.lit(kind).alias("type"), *(F.expr(given.get(c, "null")).cast(t).alias(c) for c, t in (("text", "string"), ("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int")))))
+    parts = [
+        part("text", text="text"), part("image", "turn % 2 = 0", ref="concat('i', conv_id, '-', turn)", width="1 + (conv_id * 37 + turn * 11) % 700", height="1 + (conv_id * 13 + turn * 29) % 500"),
+        part("text", text="'[IMG] [IM'"), part("audio", "turn % 3 = 0", ref="concat('a', conv_id, '-', turn)", seconds="(conv_id + turn) % 400 / 8D"),
+        part("document", "turn % 5 = 0", ref="concat('d', conv_id, '-', turn)", pages="1 + (conv_id + turn) % 7"), part("text", text="'G] end'"),
+    ]
+    return turns.select("conv_id", "turn", "role", F.filter(F.array(*parts), lambda p: p.isNotNull()).alias("parts"))
+
+
+def typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visitor's work: placeholders, references, token counts, and what reading back tells of texts and attachments."""
+    made = chatfmt.format_conversations(_typed(_table(spark, sf_dir, "conversations")))
+    attached = F.array_join(F.transform("attachments", lambda a: F.concat_ws(":", a["type"], a["ref"], a["tokens"].cast("string"))), " ")
+    read = F.flatten(F.transform(chatfmt.read_parts(F.col("formatted")), lambda t: t["parts"]))
+    told = F.array_join(F.transform(read, lambda p: F.coalesce(p["text"], F.concat(F.lit("\x01"), p["type"], F.lit("\x01")))), "")
+    return made.select("conv_id", attached.alias("attachments"), "expanded_tokens", F.length("formatted").cast("long").alias("formatted_chars"), F.sha2(told, 256).alias("parts_sha256"))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(_table(spark, sf_dir, "documents"))
 
@@ -70,7 +91,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op3_exact_topk, op4_sentencepiece, op5_warc, op6_pii, op7_chat_format, op8_lm_score, op9_packing, op10_quality_classifier)}
+    return {f.__name__: f for f in (typed_parts, op1_quality_rules, op2_simhash_dedup, op3_exact_topk, op4_sentencepiece, op5_warc, op6_pii, op7_chat_format, op8_lm_score, op9_packing, op10_quality_classifier)}
 
 
 _OP3 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
@@ -99,5 +120,21 @@ def _op7() -> str:
   ({len(chatfmt.START)} + sum({size} + CASE role {marks} END))::BIGINT AS formatted_chars, 0::BIGINT AS expanded_tokens FROM {_OP7_TURNS} GROUP BY conv_id"""
 
 
+def _typed_sql() -> str:
+    control = "|".join(re.escape(c) for c in chatfmt.CONTROL)
+    size = f"length(replace(text, chr(92), chr(92) || chr(92))) + len(regexp_extract_all(text, '{control}'))"
+    marks = " ".join(f"WHEN '{r}' THEN {len(a) + len(z)}" for r, (a, z) in chatfmt.MARKS.items())
+    of = lambda kind, name: f"{name} IS NOT NULL THEN {len(chatfmt.KINDS[kind])}"
+    # a text behind a text costs two signs; '[IMG] [IM' costs one for its control string
+    return f"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text,
+  CASE WHEN turn % 2 = 0 THEN (ceil((1 + (conv_id * 37 + turn * 11) % 700) / 16.0) + 1) * ceil((1 + (conv_id * 13 + turn * 29) % 500) / 16.0) END::BIGINT AS i,
+  CASE WHEN turn % 3 = 0 THEN greatest(ceil((conv_id + turn) % 400 / 8.0 * 12.5), 1) END::BIGINT AS a, CASE WHEN turn % 5 = 0 THEN 512 * (1 + (conv_id + turn) % 7) END::BIGINT AS d FROM conversations),
+s AS (SELECT *, concat_ws(' ', 'image:i' || conv_id || '-' || turn || ':' || i, 'audio:a' || conv_id || '-' || turn || ':' || a, 'document:d' || conv_id || '-' || turn || ':' || d) AS attached,
+  text || CASE WHEN i IS NOT NULL THEN chr(1) || 'image' || chr(1) ELSE '' END || '[IMG] [IM' || CASE WHEN a IS NOT NULL THEN chr(1) || 'audio' || chr(1) ELSE '' END || CASE WHEN d IS NOT NULL THEN chr(1) || 'document' || chr(1) ELSE '' END || 'G] end' AS told,
+  {size} + 10 + 6 + CASE WHEN {of("image", "i")} ELSE 2 END + CASE WHEN {of("audio", "a")} ELSE 0 END + CASE WHEN {of("document", "d")} ELSE 0 END + CASE WHEN a IS NULL AND d IS NULL THEN 2 ELSE 0 END + CASE role {marks} END AS chars FROM t)
+SELECT conv_id, coalesce(string_agg(attached, ' ' ORDER BY turn) FILTER (WHERE attached <> ''), '') AS attachments, sum(coalesce(i, 0) + coalesce(a, 0) + coalesce(d, 0))::BIGINT AS expanded_tokens,
+  ({len(chatfmt.START)} + sum(chars))::BIGINT AS formatted_chars, sha256(string_agg(told, '' ORDER BY turn)) AS parts_sha256 FROM s GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": _OP3, "op5_warc": _OP5, "op7_chat_format": _op7()}
+    return {"typed_parts": _typed_sql(), "op3_exact_topk": _OP3, "op5_warc": _OP5, "op7_chat_format": _op7()}
