@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,30 +58,46 @@ def decoded(ids: Column, v: Vocabulary, policy: str | int = "ignore") -> Column:
     are left out, written, or an error, by policy."""
     policy, names, n = policy_of(policy), v.special.names(), v.n_special
 
-    def one(row: list[int]) -> tuple[str | None, str | None]:
-        parts, run = [], []
-        pieces = v.pieces()
-        for t in [*row, -1]:
-            if t >= n:
-                run.append(t - n)
-                continue
-            if run:
-                parts.append(b"".join(pieces[r] for r in run).decode("utf-8", "replace"))
-                run = []
-            if t >= 0 and policy == "raise":
+    def one(row: list[int], pieces: list[bytes]) -> tuple[str | None, str | None]:
+        parts, at = [], 0
+        for p in [*np.flatnonzero(np.asarray(row, dtype=np.int64) < n).tolist(), len(row)]:
+            if p > at:
+                parts.append(b"".join(map(pieces.__getitem__, row[at:p])).decode("utf-8", "replace"))
+            if p < len(row) and row[p] >= 0 and policy == "raise":
                 return None, "special tokens are not allowed"
-            if t >= 0 and policy == "keep":
-                parts.append(names[t])
+            if p < len(row) and row[p] >= 0 and policy == "keep":
+                parts.append(names[row[p]])
+            at = p + 1
         return "".join(parts), None
 
     @F.arrow_udf("struct<text:string,error:string>")
     def go(a: pa.Array) -> pa.Array:
-        out = [(None, None) if row is None else one(row) for row in a.to_pylist()]
+        pieces = [b""] * n + list(v.pieces())  # by id
+        out = [(None, None) if row is None else one(row, pieces) for row in a.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], names=["text", "error"])
 
     return go.asNondeterministic()(ids)
 
 
+def byte_histogram(df: DataFrame, text_col: str, n_special: int) -> DataFrame:
+    """(token_id, n, n_docs): how often each byte token occurs, and in how many texts. Bytes are counted where they lie; a task
+    sends on one row an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, docs = np.zeros(256, dtype=np.int64), np.zeros(256, dtype=np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if t:
+                    found = np.bincount(np.frombuffer(t, dtype=np.uint8), minlength=256)
+                    n += found
+                    docs += found > 0
+        ids = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(ids + n_special, pa.int32()), pa.array(n[ids]), pa.array(docs[ids])], names=["token_id", "n", "n_docs"])
+
+    counted = df.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "token_id int, n long, n_docs long")
+    return counted.groupBy("token_id").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+
+
 def special_runs(ids: Column, n_special: int) -> Column:
     """array<struct(special, ids)>: consecutive ids of one kind together."""
     return F.transform(runs(ids, lambda p, x, i: (p < n_special) != (x < n_special)), lambda r: F.struct((F.get(r, F.lit(0)) < n_special).alias("special"), r.alias("ids")))

@@ -484,7 +484,12 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", tokens.decoded(F.col("ids"), v).alias("d")).select("doc_id", F.sha2("d.text", 256).alias("text_hash"))
 
 
-@query()
+def _times(x: str) -> str:
+    return f"(length(text) - length(replace(text, '{x}', ''))) // {len(x)}"
+
+
+# merges apply by rank: 'th' before ' t', and 'the' takes its 'e' before 'er' can
+@query(f"SELECT doc_id, octet_length(encode(text)) - {_times('th')} - {_times('the')} - ({_times(' t')} - {_times(' th')}) - {_times('in')} - ({_times('er')} - {_times('ther')}) - {_times('an')} - {_times('on')} AS n_tokens FROM documents")
 def bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = merging_vocabulary()
     return _table(spark, sf_dir, "documents").select("doc_id", F.size(F.get(tokens.bpe_ids(F.array("text"), v), F.lit(0))).cast("long").alias("n_tokens"))
@@ -678,11 +683,15 @@ def inline_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", F.octet_length(data).cast("long").alias("n"), media_source.audio_format(wav).alias("format"))
 
 
-@query()
+@query(
+    """SELECT vec_id, len(embedding) AS n, 16000 AS sampling_rate, NULL::VARCHAR AS error, 'wav' AS format,
+round(list_sum(list_transform(embedding, lambda x: greatest(-32768, least(32767, round_even(x::DOUBLE * 32767, 0))) / 32768)), 6) AS total FROM embeddings"""
+)
 def wav_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _table(spark, sf_dir, "embeddings").select("vec_id", media_source.wav_bytes(F.col("embedding"), F.lit(16000)).alias("wav"))
     back = t.select("vec_id", media_source.wav_samples(F.col("wav")).alias("w"), media_source.audio_format(F.col("wav")).alias("format"))
-    return back.select("vec_id", F.size("w.samples").alias("n"), "w.sampling_rate", "w.error", "format")
+    total = F.round(F.aggregate("w.samples", F.lit(0.0), lambda a, x: a + x), 6)
+    return back.select("vec_id", F.size("w.samples").alias("n"), "w.sampling_rate", "w.error", "format", total.alias("total"))
 
 
 # Conversion, text generators, JSON -----------------------------------------------------------------------------------
@@ -708,7 +717,7 @@ def tool_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select("p_partkey", grammar.grammar("base", F.lit("required"), calls, F.lit(None).cast("string"), s).alias("grammar"))
 
 
-@query()
+@query("SELECT event_id, props AS normal, props AS dumped FROM events")
 def json_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnloom.functions.jsontext import forms
 
@@ -726,7 +735,15 @@ def special_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.table(spark, _BYTES).filter("special").select("id", F.col("text").alias("name"))
 
 
-@query()
+_PADDED = f"greatest({_SAMPLES}, 400)"  # at least a window
+_AUDIO_N = f"ceil((CASE WHEN {_PADDED} % 160 <> 0 THEN ceil({_PADDED} / 160.0 - 1) ELSE {_PADDED} // 160 END) / 12.0)::INTEGER"
+_EN = ",".join(str(b + 100) for b in b"lang:en")
+
+
+@query(
+    f"""SELECT event_id, 5 + n + CASE WHEN en THEN 7 ELSE 0 END AS n_tokens, md5('1,3,25' || repeat(',24', n) || ',4' || CASE WHEN en THEN ',{_EN}' ELSE '' END || ',34') AS hash
+FROM (SELECT event_id, {_AUDIO_N} AS n, event_id % 2 = 0 AS en FROM events)"""
+)
 def transcription_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vocabulary.Vocabulary(special=speech_tokens())
     t = _table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 7919 % 500000).alias("n_samples"), F.when(F.col("event_id") % 2 == 0, "en").alias("language"))
@@ -744,9 +761,7 @@ def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT token_id, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, {_BYTE_AT} + 100 AS token_id FROM (SELECT doc_id, text, unnest(range(octet_length(encode(text)))) AS i FROM documents)) GROUP BY token_id")
 def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.explode(tokens.byte_ids(F.col("text"), _BYTES.n_special)).alias("token_id"))
-    per_doc = docs.groupBy("token_id", "doc_id").agg(F.count("*").alias("n"))  # at most one row a document and id goes on
-    return per_doc.groupBy("token_id").agg(F.sum("n").cast("long").alias("n"), F.count("*").alias("n_docs"))
+    return tokens.byte_histogram(_table(spark, sf_dir, "documents"), "text", _BYTES.n_special)
 
 
 @query("SELECT lang, source, count(*) AS n_docs, sum(octet_length(encode(text)))::BIGINT AS n_tokens FROM documents GROUP BY ROLLUP (lang, source)")
@@ -766,3 +781,6 @@ def message_length_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("k"))
     return _table(spark, sf_dir, "labels").join(docs, "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.sum("k").cast("long").alias("n_tokens"))
+
+
+from turnloom import cases  # noqa: E402, F401  more queries, which register themselves above
