@@ -34,7 +34,7 @@ def test_held_out_accuracy(spark, docs):
     rows = sorted(c.scored(docs(texts), model).collect(), key=lambda r: r.doc_id)
     assert sum(r.kept == (g == 2) for r, g in zip(rows, grades, strict=True)) >= 396
     assert all(0 <= r.tail_probability <= 1 and 0 <= r.expected_grade <= 2 for r in rows)
-    order = [np.mean([r.expected_grade for r, g in zip(rows, grades, strict=True) if g == k]) for k in (0, 1, 2)]
+    order = [np.mean([r.expected_grade for r, g in zip(rows, grades, strict=True) if g == k]) for k in (1, 0, 2)]  # toxic, poor, good
     assert order[0] < order[1] < order[2]
 
 
@@ -49,7 +49,7 @@ def test_selected_rows_are_those_kept(spark, docs):
 
 def test_lowest_of_several_labels_counts(spark):
     got = {r.id: r.grade for r in c.graded(labels(spark, [2, 1])).collect()}
-    assert got == {0: 0, 1: 1}
+    assert got == {0: 1, 1: 0}  # poor by one label of two; toxic
 
 
 def test_edges(spark, docs):
@@ -63,10 +63,19 @@ def test_edges(spark, docs):
 
 
 def test_cut_comes_from_held_out_ratings():
-    assert c.best_cut(np.array([0.1, 0.2, 0.7, 0.9]), np.array([False, False, True, True])) == c.best_cut(np.array([0.2, 0.7]), np.array([False, True]))
-    assert 0.2 < c.best_cut(np.array([0.1, 0.2, 0.7, 0.9]), np.array([False, False, True, True])) < 0.7
-    assert 0.5 < c.best_cut(np.array([0.1, 0.6, 0.5, 0.9] * 2 + [0.95]), np.array([False, False, True, True] * 2 + [True])) < 0.9
-    assert c.best_cut(np.array([0.5, 0.5]), np.array([True, False])) == 0.5 == c.best_cut(np.array([0.9]), np.array([True]))
+    t, f = True, False
+    assert 0.2 < c.best_cut(np.array([0.1, 0.2, 0.7, 0.9]), np.array([f, f, t, t])) < 0.7
+    assert c.best_cut(np.array([0.1, 0.2, 0.7, 0.9]), np.array([f, f, t, t])) == c.best_cut(np.array([0.2, 0.7]), np.array([f, t]))
+    many = np.array([0.01, 0.02, 0.04, 0.05] + [0.9] * 600), np.array([f, t, f, f] + [t] * 600)
+    assert 0.05 < c.best_cut(*many) < 0.9 and 0.01 < c.best_cut(*many, lost=0.0) < 0.02
+    assert c.best_cut(np.array([0.5, 0.5]), np.array([t, f])) == 0 == c.best_cut(np.array([0.9]), np.array([t])) == c.best_cut(np.array([0.1, 0.9]), np.array([t, f]))
+
+
+def test_only_features_beyond_chance_get_weights():
+    rng = np.random.default_rng(8)
+    grades = rng.integers(0, 3, size=600)
+    features = [np.unique(np.append(rng.integers(3, 60, size=9), [g])).astype(np.int32) for g in grades]
+    assert c.telling(features, grades, 64, 3, 6.0).tolist() == [0, 1, 2]
 
 
 def test_bounds_are_ordered_and_ids_count_once(spark, docs):
@@ -95,7 +104,7 @@ def test_gradient_is_right():
 
     kept, c._lbfgs = c._lbfgs, spy
     try:
-        c.fit(features, grades, 30, least_df=1)
+        c.fit(features, grades, 30, least_df=1, least_z=0)
     finally:
         c._lbfgs = kept
     for numeric, given in seen.values():

@@ -1,9 +1,10 @@
 """Ordinal quality classifier: cumulative-link regression on graded ratings over hashed text.
 
 P(grade <= k) = sigmoid(threshold_k - score), thresholds in ascending order; the score is a sum of shared weights over
-a text's distinct features. A word gives two features: the word without punctuation at its ends, and its shape (what
-punctuation it carries and how it is capitalised), both hashed. Scores give the expected grade and the probability of
-the top grade; the latter selects documents, from a cut that rated documents held out of a first fit decide.
+a text's distinct features. A word gives up to three features, all hashed: the word without punctuation at its ends, its
+first letters, and its shape (what punctuation it carries and how it is capitalised). Only features that part grades
+beyond chance get a weight. Scores give the expected grade and the probability of the top grade; the latter selects
+documents, from a cut that rated documents held out of a first fit decide.
 """
 
 from __future__ import annotations
@@ -39,12 +40,15 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
-def word_features(word: bytes, buckets: int) -> tuple[int, int]:
+def word_features(word: bytes, buckets: int) -> tuple[int, ...]:
     core = word.strip(_MARKS)
     head, tail = (word.split(core, 1) if core else (word, b""))
     case = b"U" if core.isupper() and len(core) > 1 else b"l"
     shape = b"%s %s %s" % (head[:3], case, tail[:3])
-    return xxhash.xxh64_intdigest(core.lower(), 1) % buckets, xxhash.xxh64_intdigest(shape, 2) % buckets
+    low = core.lower()
+    begins = low.decode("utf-8", "replace")[:4].encode()
+    told = xxhash.xxh64_intdigest(low, 1) % buckets, xxhash.xxh64_intdigest(shape, 2) % buckets
+    return (*told, xxhash.xxh64_intdigest(begins, 3) % buckets) if len(begins) < len(low) else told
 
 
 def text_features(text: bytes | None, buckets: int, known: dict) -> np.ndarray:
@@ -62,17 +66,29 @@ def text_features(text: bytes | None, buckets: int, known: dict) -> np.ndarray:
     return np.array(sorted(found), dtype=np.int32)
 
 
-def fit(features: list[np.ndarray], grades: np.ndarray, buckets: int, least_df: int = 3, prior: float = 0.5, rounds: int = 80) -> Model:
+def telling(features: list[np.ndarray], grades: np.ndarray, buckets: int, least_df: int, least_z: float) -> np.ndarray:
+    """The features in least_df texts or more whose texts lie above a grade more or less often than all texts do, by least_z
+    standard errors for some grade."""
+    top, df = int(grades.max()), np.zeros(buckets, dtype=np.int64)
+    above = np.zeros((top, buckets), dtype=np.int64)
+    for f, g in zip(features, grades.tolist(), strict=True):
+        df[f] += 1
+        above[:g, f] += 1
+    share = np.array([(grades > k).mean() for k in range(top)])[:, None]
+    error = np.sqrt(df * share * (1 - share))
+    return np.flatnonzero((df >= least_df) & (np.abs(above - df * share) >= least_z * np.maximum(error, 1e-12)).any(axis=0))
+
+
+def fit(features: list[np.ndarray], grades: np.ndarray, buckets: int, least_df: int = 3, least_z: float = 6.0, prior: float = 0.5, rounds: int = 80) -> Model:
     """Maximum of the cumulative-link likelihood with a Gaussian prior on the weights, by L-BFGS.
 
-    Grades are 0, 1, ...; features are present or not, and those in fewer than least_df texts get no weight. Fewer
-    than two grades give the model that keeps all.
+    Grades are 0, 1, ...; features are present or not, and those that telling() doesn't name get no weight. Fewer than two
+    grades give the model that keeps all.
     """
     top = int(grades.max(initial=0))
     if len(set(grades.tolist())) < 2:
         return Model(np.zeros(buckets, dtype=np.float32))
-    df = np.bincount(np.concatenate(features), minlength=buckets)
-    used = np.flatnonzero(df >= least_df)
+    used = telling(features, grades, buckets, least_df, least_z)
     place = np.full(buckets, -1, dtype=np.int64)
     place[used] = np.arange(len(used))
     rows = [place[f] for f in features]
@@ -144,28 +160,27 @@ def _lbfgs(loss, x: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
 
 
 def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, grade): 0 for low quality, 1 for good but toxic, 2 for good and clean. Null labels give no row; of several
+    """(id, grade): 0 for toxic, 1 for low quality, 2 for good and clean. Null labels that leave it open give no row; of several
     for one document the lowest grade counts."""
-    good = F.col("quality") > 0
-    grade = F.when(F.col("quality") <= 0, 0).when(good & (F.col("toxic") > 0), 1).when(good & (F.col("toxic") <= 0), 2)
+    grade = F.when(F.col("toxic") > 0, 0).when(F.col("quality") <= 0, 1).when((F.col("quality") > 0) & (F.col("toxic") <= 0), 2)
     rows = labels.select(F.col(id_col).cast("long").alias("id"), grade.alias("grade"))
     return rows.filter("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade"))
 
 
-def best_cut(probabilities: np.ndarray, top: np.ndarray) -> float:
-    """The cut between probabilities of the top grade that loses the least: the share of top documents below it plus the
-    share of others from it on. Among equal ones, the middle of the widest gap on the scale of log odds."""
+def best_cut(probabilities: np.ndarray, top: np.ndarray, lost: float = 0.002) -> float:
+    """The cut between probabilities of the top grade that rejects most documents of other grades, of those cuts that reject
+    at most the share `lost` of the top ones. Among equal ones, the middle of the widest gap on the scale of log odds; 0,
+    which keeps all, where nothing is rejected so."""
     if top.all() or not top.any():
-        return 0.5
-    odds = np.log(np.clip(probabilities, 1e-9, 1 - 1e-9)) - np.log1p(-np.clip(probabilities, 1e-9, 1 - 1e-9))
+        return 0.0
+    odds = np.log(np.clip(probabilities, 1e-12, 1 - 1e-12)) - np.log1p(-np.clip(probabilities, 1e-12, 1 - 1e-12))
     order = np.argsort(odds, kind="stable")
     odds, top = odds[order], top[order]
-    lost = np.cumsum(top)[:-1] / top.sum() + 1 - np.cumsum(~top)[:-1] / (~top).sum()
     gap = np.diff(odds)
-    lost = np.where(gap > 0, lost, np.inf)  # no cut parts documents of one probability
-    if not np.isfinite(lost).any():
-        return 0.5
-    i = max(np.flatnonzero(lost <= lost.min() + 1e-12), key=lambda j: (gap[j], -j))
+    rejected = np.where((gap > 0) & (np.cumsum(top)[:-1] <= lost * top.sum()), np.cumsum(~top)[:-1], 0)
+    if not rejected.any():
+        return 0.0
+    i = max(np.flatnonzero(rejected == rejected.max()), key=lambda j: (gap[j], -j))
     return float(1 / (1 + np.exp(-(odds[i] + odds[i + 1]) / 2)))
 
 
