@@ -150,6 +150,19 @@ def image_prompt(spark: SparkSession) -> DataFrame:
     return Engine.of(13).tokens(read.withColumn("messages", sized)).select("prompt", F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"))
 
 
+_NAMED = [
+    ([_user(), _assistant(tool_calls=[_call(A, "f"), _call(B, "g")]), _result(B), _result(A)], "g f"),
+    ([_user(), _result(A), _assistant(tool_calls=[_call(A, "f")]), _result(A), _assistant(tool_calls=[_call(A, "h")]), _result(A), _result(B), _result(A, name="own")], "- f h - own"),
+]
+
+
+@cases("case_id, names", _numbered([n for _, n in _NAMED]))
+def results_named_by_calls(spark: SparkSession) -> DataFrame:
+    read = _read(spark, [{"messages": m} for m, _ in _NAMED]).select("conv_id", normalize.named_results(F.col("messages")).alias("m"))
+    names = F.transform(F.filter("m", lambda m: m["role"] == "tool"), lambda m: F.coalesce(m["name"], F.lit("-")))
+    return read.select(F.col("conv_id").alias("case_id"), F.array_join(names, " ").alias("names"))
+
+
 # Generated ids back to messages --------------------------------------------------------------------------------------------
 
 _ANSWERS = [

@@ -66,6 +66,18 @@ def ordered_results(results: Column, called: Column) -> Column:
     return F.transform(F.sort_array(keyed), lambda k: F.get(results, k["i"]))
 
 
+def named_results(messages: Column) -> Column:
+    """The messages, where results without a name have that of the last call before them with their id, if there is one."""
+
+    def named(m: Column, i: Column) -> Column:
+        calls = F.flatten(F.transform(F.slice(messages, F.lit(1), i), lambda x: F.coalesce(x["tool_calls"], F.array().cast(_NO_CALLS))))
+        own = F.filter(calls, lambda c: c["id"] == m["tool_call_id"])
+        name = let(own, lambda c: F.get(c, F.size(c) - 1)["name"])
+        return F.when((m["role"] == "tool") & m["name"].isNull(), schema.with_fields(m, name=name)).otherwise(m)
+
+    return F.transform(messages, named)
+
+
 def _merged(groups: Column, g: Column, i: Column, v: Version) -> Column:
     """The messages that a group becomes."""
     role = F.get(g, F.lit(0))["role"]
