@@ -1,46 +1,26 @@
 """Conversations out of a stream of turns.
 
 Requests that arrive whole need no state: Engine's methods take a streaming table as they take any other. Turns that
-arrive one by one are gathered by conversation and given out when event time has passed the last turn by `quiet`.
+arrive one by one are gathered in a session window by conversation, given out when event time has passed the last turn
+by `quiet`. State is a row a turn, merged by Spark, so each batch costs what it brings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnloom import schema
 
-OUT = "conv_id long, n_turns long, turns array<struct<turn:bigint,role:string,text:string>>"
-STATE = "turns array<struct<turn:bigint,role:string,text:string>>, latest_ms long"
-
 
 def gathered(turns: DataFrame, quiet_ms: int, late: str = "1 minute", id_col: str = "conv_id", time_col: str = "ts") -> DataFrame:
     """(conv_id, n_turns, turns) for each conversation that has been quiet for quiet_ms of event time. Turns come with
     columns conv_id, turn, role, text and a timestamp; those later than the watermark are dropped, as the stream's
     contract has it. A turn after its conversation was given out begins a new one."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, latest = state.get if state.exists else ([], 0)
-        held = [dict(x) if isinstance(x, dict) else {"turn": x[0], "role": x[1], "text": x[2]} for x in held]
-        if state.hasTimedOut:
-            state.remove()
-            held.sort(key=lambda x: (x["turn"], x["role"] or "", x["text"] or ""))
-            yield pd.DataFrame({"conv_id": [key[0]], "n_turns": [len(held)], "turns": [held]})
-            return
-        for pdf in batches:
-            for r in pdf.itertuples():
-                held.append({"turn": int(r.turn), "role": r.role, "text": r.text})
-                latest = max(latest, int(r.ts.timestamp() * 1000))
-        state.update((held, latest))
-        state.setTimeoutTimestamp(max(latest + quiet_ms, state.getCurrentWatermarkMs() + 1))
-
     slim = turns.select(F.col(id_col).cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text", F.col(time_col).alias("ts"))
-    return slim.withWatermark("ts", late).groupBy("conv_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    quiet = F.session_window("ts", f"{quiet_ms} milliseconds")
+    sessions = slim.withWatermark("ts", late).groupBy("conv_id", quiet).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return sessions.select("conv_id", F.size("turns").cast("long").alias("n_turns"), "turns")
 
 
 def messages(conversations: DataFrame) -> DataFrame:
