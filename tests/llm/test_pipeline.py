@@ -48,7 +48,7 @@ def test_rows_that_share_ids_and_other_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1 and toxic = 0")
     good = docs.join(labels, "doc_id").filter("lang = 'en'").orderBy(F.abs(F.col("n_chars") - 1500), "doc_id").first().text
-    odd = [(1, good, "en", "s", 1), (1, good, "en", "s", 1), (1, "too few words", "en", "s", 1), (None, "The " + good, None, None, None), (2, None, "en", "s", None)]
+    odd = [(1, good, "en", "s", 1), (1, good, "en", "s", 1), (1, "too few words", "en", "s", 1), (None, "The " + good, "en", None, None), (2, None, "en", "s", None)]
     both = docs.union(spark.createDataFrame(odd, docs.schema)).selectExpr("*", "'x' as h", "1 as n", "'y' as base", "0 as row", "1 as k")
     passed = cp.keep_by_rules(spark, both, sf)
     assert passed.columns == cp.COLUMNS

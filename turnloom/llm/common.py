@@ -71,7 +71,7 @@ def only_kept(spark: SparkSession) -> Iterator[list[str]]:
     try:
         yield kept
     finally:
-        _written_here.remove(paths)
+        _written_here.pop()  # contexts end in reverse order
         for path in paths:
             if path not in kept:
                 deleted(spark, path)
