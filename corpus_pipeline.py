@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import classifier, near_copies, packing, pii, quality_rules
-from turnloom.llm.common import deleted, only_kept, written
+from turnloom.llm.common import deleted, memory_returned, only_kept, written
 from turnloom.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,7 +28,9 @@ def keep_by_grade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows stay.
     """
     ratings = classifier.graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return classifier.selected(docs.select(*COLUMNS), classifier.train(docs, ratings))
+    model = classifier.train(docs, ratings)
+    memory_returned()
+    return classifier.selected(docs.select(*COLUMNS), model)
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -133,3 +133,13 @@ def test_one_id_on_two_texts(spark, docs):
     df = docs(["ask a@b.cd now", "nothing here", "ask a@b.cd now", None], ids=[1, 1, 1, None])
     rows = sorted((r.doc_id or 0, r.text or "", r.fp, r.n) for r in pii.sanitised(df).collect())
     assert rows == [(0, "", "x", 1), (1, "[REMOVED] [EMAIL] [REMOVED]", "x", 1), (1, "[REMOVED] [EMAIL] [REMOVED]", "x", 1), (1, "nothing here", "x", 1)]
+
+
+def test_many_places_are_no_broadcast(docs, monkeypatch):
+    """Few texts with many telling terms each, some rows alike: their places go by bytes, not by rows."""
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", 1000, raising=False)
+    texts = [f"a{i}@example.com " + " ".join(f"own{i}x{j}" for j in range(40)) for i in range(4)]
+    found = pii.found_in(docs([*texts, texts[0], "no identifier", None]))
+    assert "strategy=broadcast" not in found._jdf.queryExecution().analyzed().toString()
+    told = {r.doc_id: len(r.terms) for r in found.collect()}
+    assert told == {**dict.fromkeys(range(5), 40), 5: 0, 6: 0}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ SPACE = " \t\n\x0b\f\r"
 BROADCAST_ROWS = 20_000
 #: The same for tables of two numbers, which are some 40 bytes a row once broadcast.
 BROADCAST_NUMBERS = 1_000_000
+#: Bytes up to which a table whose rows hold arrays may be broadcast: the driver holds it several times over meanwhile.
+BROADCAST_BYTES = 4 << 20
 #: Rows of a table up to which one key may hold all of them in a shuffled join.
 HOT_ROWS = 4_000_000
 
@@ -77,6 +81,14 @@ def only_kept(spark: SparkSession) -> Iterator[list[str]]:
                 deleted(spark, path)
 
 
+def memory_returned() -> None:
+    """Give back to the system what this process has freed: else the driver keeps, for all later stages, what one of them
+    needed for a while. Does nothing where the C library can't."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once per row, however often body mentions it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import BROADCAST_NUMBERS, let, looked_up, running, written
+from turnloom.llm.common import BROADCAST_BYTES, BROADCAST_NUMBERS, joined_by_hot_key, let, looked_up, running, written
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: Patterns by kind, in the order of the result. Loops are possessive: nothing follows that could need them shorter,
@@ -183,10 +183,20 @@ def found_in(
     placed = placed.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
     none = F.array().cast(_PLACES)
     kept = ["doc_id", "h", "base", *(["row"] if carry else [])]
-    spotted = looked_up(held.select(*kept), written(placed, "places"), "h", texts.count())
+    spotted = _with_places(held.select(*kept), written(placed, "places"), texts.select("h"), copies)
     return base.filter("t is null").select(*kept, none.alias("terms")).unionByName(spotted.withColumn("terms", F.coalesce("terms", none)))
 
 
+def _with_places(held: DataFrame, placed: DataFrame, texts: DataFrame, copies: DataFrame) -> DataFrame:
+    """held, rows of some of the texts h, with their terms if they have any. A text can have thousands of places, so bytes
+    decide whether they are broadcast, not rows; beyond BROADCAST_BYTES held is shuffled, but for texts of very many rows."""
+    size = placed.agg(F.coalesce(F.sum(64 + 40 * F.size("terms")), F.lit(0)).alias("b")).first()["b"]
+    if size <= BROADCAST_BYTES:
+        return held.join(F.broadcast(placed), "h", "left")
+    every = texts.join(copies, "h").join(placed, "h", "left")
+    return joined_by_hot_key(held, written(every, "places"), "h", "copies")
+
+
 def _count(kind: int) -> Column:
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
