@@ -76,3 +76,23 @@ def test_draws_depend_on_the_row_only(docs):
     other = {(r.doc_id, r["sample"]): r for r in sp.sample_segmentations(docs(TEXTS[::-1], ids=list(range(len(TEXTS)))[::-1]).repartition(3), PATH).collect()}
     assert one == other
     assert one[8, 1].ids_crc32 == one[8, 1].ids_crc32 and one[8, 1].perturbed != one[9, 1].perturbed
+
+
+def test_the_query_encodes_samples_and_decodes(spark, sf):
+    from turnloom.llm.queries import queries
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries()["op4_sentencepiece"](spark, sf).collect()
+    own = {r.doc_id: r.ids for r in rows if r["sample"] == 0}
+    model = sp._processor(PATH)
+    assert own == {i: model.encode(t) for i, t in texts.items()}
+    assert all(r.decoded and r.n_pieces == len(r.ids) for r in rows) and {r["sample"] for r in rows} == {0, 1, 2}
+
+
+def test_tokenised_gives_the_rows_of_its_parts(docs):
+    df = docs(TEXTS)
+    rows = sp.tokenised(df, PATH, k=3).collect()
+    drawn = {(r.doc_id, r["sample"]): r for r in sp.sample_segmentations(df, PATH, k=3, with_ids=True).collect()}
+    assert {(r.doc_id, r["sample"]): r[:8] for r in rows if r["sample"]} == {x: r[:8] for x, r in drawn.items()}
+    assert {r.doc_id: r.ids for r in rows if not r["sample"]} == {r.doc_id: r.ids or [] for r in sp.encode(df, PATH).collect()}
+    assert all(r.decoded for r in rows) and sp.tokenised(docs([]), PATH).count() == 0

@@ -36,7 +36,7 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_ops.sample_segmentations(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), k=2)
+    return sentencepiece_ops.tokenised(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), k=2)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

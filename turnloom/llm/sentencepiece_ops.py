@@ -28,6 +28,8 @@ _SPACE = "▁"
 _WORD = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
 #: Words of texts that are drawn together.
 _BLOCK_WORDS = 1_100_000
+#: The same where their ids are kept and read back.
+_CHECKED_WORDS = 400_000
 #: Slots of a table of pieces, as a power of two.
 _SLOT_BITS = 19
 #: log weight of one character that no piece has; it becomes its UTF-8 bytes' pieces.
@@ -473,7 +475,72 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, alpha: fl
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, kind)
 
 
-_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int32()))
+def tokenised(docs: DataFrame, model_path: str, k: int = 2, alpha: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encoding, sampling and decoding in one pass: the rows of sample_segmentations() with ids and, as sample 0 without
+    probabilities, those of encode(); decoded tells whether decode() makes the whole text of the ids again.
+
+    Null counts as empty, with a sample 0 and a sample 1 of no pieces; otherwise as sample_segmentations().
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice.of(model_path, alpha)
+        for b in batches:
+            held: list[tuple] = []
+            size = 0
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                text = text or ""
+                held.append((doc_id, zlib.crc32(text.encode("utf-8", "replace")), lattice.words(text), text))
+                size += len(held[-1][2])
+                if size >= _CHECKED_WORDS:
+                    yield _checked(lattice, model_path, held, k)
+                    held, size = [], 0
+            yield _checked(lattice, model_path, held, k)
+
+    kind = f"{id_col} long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_crc32 long, ids array<int>, decoded boolean"
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, kind)
+
+
+def _encoded(model, texts: list[str]) -> list[np.ndarray]:
+    """The ids of every whole text. As no piece crosses the start of a word, each distinct word is encoded once; texts with
+    other white space marks than single spaces between words are encoded as they are."""
+    plain = [bool(t) and not ("  " in t or _SPACE in t or t[0] == " " or t[-1] == " ") for t in texts]
+    split = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
+    number = dict.fromkeys(w for words in split for w in words)
+    number.update(zip(number, range(len(number)), strict=True))
+    ids = model.encode(list(number)) if number else []
+    n = np.array([len(x) for x in ids], dtype=np.int64)
+    flat, start = np.array([i for x in ids for i in x], dtype=np.int32), np.cumsum(n) - n
+    out = []
+    for text, p, words in zip(texts, plain, split, strict=True):
+        if p:
+            kind = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
+            m = n[kind]
+            out.append(flat[np.repeat(start[kind] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))])
+        else:
+            out.append(np.array(model.encode(text), dtype=np.int32))
+    return out
+
+
+def _checked(lattice: Lattice, model_path: str, held: list[tuple], k: int) -> pa.RecordBatch:
+    """The rows of _rows() and those of encode(), with what decoding says."""
+    drawn = _rows(lattice, [x[:3] for x in held], k, True)
+    own = _encoded(_processor(model_path), [t for *_, t in held])
+    n = len(own)
+    every = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32))
+    ids = pa.ListArray.from_arrays(every, pa.array(np.concatenate(own) if own else np.zeros(0, dtype=np.int32)))
+    nothing = pa.nulls(n, pa.float64())
+    crcs = [zlib.crc32(x.astype("<u4")) for x in own]
+    first = [pa.array([x[0] for x in held], pa.int64()), pa.array([0] * n, pa.int32()), pa.array([len(x) for x in own], pa.int64()), nothing, nothing, nothing, pa.array(crcs, pa.int64()), ids]
+    at = np.cumsum(drawn.column(1).to_numpy() == 1) - 1  # each text's rows begin with sample 1
+    owner = np.concatenate([np.arange(n), at]).astype(np.int64)
+    cols = [pa.concat_arrays([a, b]) for a, b in zip(first, drawn.columns, strict=True)]
+    flat, cuts = cols[7].values.to_numpy(), cols[7].offsets.to_numpy()
+    texts = [t for *_, t in held]
+    same = [lattice.text(flat[a:z].tolist()) == texts[d] for d, a, z in zip(owner.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([*cols, pa.array(same, pa.bool_())], names=[*_NAMES, "decoded"])
+
+
+_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
 _NAMES = ["id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_crc32", "ids"]
 
 
@@ -490,7 +557,10 @@ def _rows(lattice: Lattice, held: list[tuple], k: int, with_ids: bool) -> pa.Rec
             for p in parts:
                 crc = zlib.crc32(np.ascontiguousarray(p, dtype="<u4"), crc)
             inclusion = float(-np.expm1(-np.exp(min(log - threshold, 700.0)))) if np.isfinite(threshold) else 1.0
-            rows.append((doc_id, i + 1, sum(map(len, parts)), log, value, inclusion, crc, np.concatenate(parts).tolist() if with_ids else None))
+            rows.append((doc_id, i + 1, sum(map(len, parts)), log, value, inclusion, crc, np.concatenate(parts) if with_ids else None))
     cols = list(zip(*rows, strict=True)) or [()] * 8
-    n = 7 + with_ids
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], _TYPES[:n], strict=True)], names=_NAMES[:n])
+    made = [pa.array(c, t) for c, t in zip(cols[:7], _TYPES, strict=True)]
+    if with_ids:
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in cols[7]])]).astype(np.int32)
+        made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *cols[7]]).astype(np.int32))))
+    return pa.RecordBatch.from_arrays(made, names=_NAMES[: len(made)])
