@@ -2,6 +2,7 @@ import itertools
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from turnloom.llm import sentencepiece_ops as sp
@@ -96,3 +97,41 @@ def test_tokenised_gives_the_rows_of_its_parts(docs):
     assert {(r.doc_id, r["sample"]): r[:8] for r in rows if r["sample"]} == {x: r[:8] for x, r in drawn.items()}
     assert {r.doc_id: r.ids for r in rows if not r["sample"]} == {r.doc_id: r.ids or [] for r in sp.encode(df, PATH).collect()}
     assert all(r.decoded for r in rows) and sp.tokenised(docs([]), PATH).count() == 0
+
+
+def test_known_words_are_connected_and_encoded_once(monkeypatch):
+    connected, encoded = [], []
+    connect, model = sp._connected, sp._processor(PATH)
+
+    class Model:
+        def encode(self, what):
+            encoded.extend(what if isinstance(what, list) else [])
+            return model.encode(what)
+
+    monkeypatch.setattr(sp, "_connected", lambda lattice, kinds: connected.extend(kinds) or connect(lattice, kinds))
+    column = pa.array([t or "" for t in TEXTS])
+    rows = {}
+    for edges in (sp._KEPT_EDGES, 0, 150):  # all kept, none, some
+        monkeypatch.setattr(sp, "_KEPT_EDGES", edges)
+        lattice = sp.Lattice(PATH, 1.0)
+        monkeypatch.setattr(sp, "_processor", lambda path: Model())
+        for texts in (column[2:4], column, column):
+            connected.clear(), encoded.clear()
+            got = sp._checked(lattice, PATH, list(range(len(texts))), texts, 3).to_pylist()
+            assert rows.setdefault(len(texts), got) == got
+        assert edges <= 150 or not connected and not encoded
+        assert edges > 150 or connected and encoded
+        assert edges != 150 or 0 < len(lattice.kept)
+        monkeypatch.setattr(sp, "_processor", lambda path: model)
+
+
+def test_words_and_decoding_of_many_texts(lattice):
+    texts = [t or "" for t in TEXTS] + [" ", "a ", " a", "▁a▁▁", "a  b", "▁", "a b"]
+    assert lattice.split(pa.array(texts)).to_pylist() == [lattice.words(t) for t in texts]
+    assert lattice.split(pa.array(texts)[3:9]).to_pylist() == [lattice.words(t) for t in texts[3:9]]
+    ids = [sp._processor(PATH).encode(t) for t in texts]
+    cuts = np.cumsum([0, *map(len, ids)])
+    say = lambda of: lattice.same(pa.array([i for x in ids for i in x], pa.int32()), cuts, of, [t.encode() for t in of])
+    assert say(texts) == [lattice.text(x) == t for x, t in zip(ids, texts, strict=True)]
+    assert not any(say([t + "x" for t in texts]))
+    assert lattice.same(pa.array([], pa.int32()), np.zeros(2, dtype=np.int64), [""], [b""]) == [True]

@@ -17,9 +17,12 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ _WORD = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
 _BLOCK_WORDS = 1_100_000
 #: The same where their ids are kept and read back.
 _CHECKED_WORDS = 400_000
+#: Edges of the words' lattices that a worker process keeps from block to block, 16 bytes each.
+_KEPT_EDGES = 4_000_000
 #: Slots of a table of pieces, as a power of two.
 _SLOT_BITS = 19
 #: log weight of one character that no piece has; it becomes its UTF-8 bytes' pieces.
@@ -89,6 +94,11 @@ class Lattice:
         self.bytes_of = [b"" if self.special[i] else p.replace(_SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         for value, i in self.byte_ids.items():
             self.bytes_of[i] = bytes([value])
+        self.bytes_array = pa.array(self.bytes_of, pa.large_binary())
+        #: Numbers of the words that are kept; their lattices; how many ids the first of them have, and these.
+        self.kept: dict[str, int] = {}
+        self.kept_words = _connected(self, [])
+        self.kept_ids = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32))
 
     @staticmethod
     @lru_cache(maxsize=2)
@@ -107,6 +117,42 @@ class Lattice:
             return [w[1:] for w in _WORD.findall(_SPACE + text.replace(" ", _SPACE))]
         return text.split(" ")
 
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        """words() of every text."""
+        made = pc.split_pattern(texts, " ")
+        others = np.flatnonzero(~_plain(texts))
+        if len(others):
+            own = pa.array([self.words(t) for t in texts.take(pa.array(others)).to_pylist()], made.type)
+            order = np.arange(len(texts))
+            order[others] = len(texts) + np.arange(len(others))
+            made = pa.concat_arrays([made, own]).take(pa.array(order))
+        return made
+
+    def connected(self, words: list[str]) -> tuple[np.ndarray, Words, list[str]]:
+        """(number of each of these different words, lattices by number, the words that are not kept). As many are kept
+        for later as there is room for; a word's numbers are the same either way."""
+        kind = np.fromiter((self.kept.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(kind < 0)
+        kind[new] = len(self.kept) + np.arange(len(new))
+        names = [words[i] for i in new.tolist()]
+        made = self.kept_words.beside(_connected(self, [_SPACE + w for w in names]))
+        if names and len(made.piece) <= _KEPT_EDGES:
+            self.kept.update(zip(names, range(len(self.kept), len(self.kept) + len(names)), strict=True))
+            self.kept_words = made
+        return kind, made, names
+
+    def same(self, ids: pa.Array, cuts: np.ndarray, texts: list[str], raw: list[bytes]) -> list[bool]:
+        """Whether text() makes each of the texts, given in UTF-8 too, of its ids between two cuts."""
+        said = self.bytes_array.take(ids)
+        at, data = said.buffers()[1:]
+        ends = np.frombuffer(at, dtype=np.int64)[cuts].tolist() if len(ids) else [0] * len(cuts)
+        data = memoryview(data or b"")
+        parts = (data[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True))
+        return [p == b" " + r or p.decode("utf-8", "replace").removeprefix(" ") == t for p, r, t in zip(parts, raw, texts, strict=True)]
+
+    def logs(self, pieces: np.ndarray) -> np.ndarray:
+        return self.log_weight.take(pieces, mode="clip")  # what is no piece weighs as the unknown one, the first
+
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece or -1, whether longer pieces begin so) of strings by their hash."""
         keys, pieces, ons, factor = self.tables[0]
@@ -124,6 +170,12 @@ class Lattice:
         return piece, on
 
 
+def _plain(texts: pa.Array) -> np.ndarray:
+    """Whether a text's words are what stands between single spaces."""
+    other = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, _SPACE)), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+    return pc.and_not(pc.greater(pc.binary_length(texts), 0), other).to_numpy(zero_copy_only=False)
+
+
 def _hash_on(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The hash of strings one character longer."""
     with np.errstate(over="ignore"):
@@ -176,88 +228,109 @@ def _uniform(seeds: np.ndarray, stream: int, place: np.ndarray | int) -> np.ndar
     return _spread(_seeded(seeds, stream), place)
 
 
+class Words(NamedTuple):
+    """The lattices of different words side by side: a node for each character and one behind each word; edges by node,
+    longest piece first, with their share of the node's mass, summed up; and every node's log mass."""
+
+    length: np.ndarray
+    node: np.ndarray
+    edge_start: np.ndarray
+    piece: np.ndarray
+    target: np.ndarray
+    cum: np.ndarray
+    mass: np.ndarray
+    log_mass: np.ndarray
+    only: np.ndarray
+
+    def beside(self, more: Words) -> Words:
+        """These, then those."""
+        if not len(self.length) or not len(more.length):
+            return self if len(self.length) else more
+        nodes, edges = np.int32(len(self.mass)), np.int32(len(self.piece))
+        shifted = more._replace(node=more.node + nodes, target=more.target + nodes, edge_start=more.edge_start + edges)
+        return Words(*map(np.concatenate, zip(self._replace(edge_start=self.edge_start[:-1]), shifted, strict=True)))
+
+
+def _connected(lattice: Lattice, kinds: list[str]) -> Words:
+    """The lattices of words, each with the mark before it."""
+    look = lattice.lookup
+    length = np.fromiter(map(len, kinds), dtype=np.int64, count=len(kinds))
+    codes = np.frombuffer("".join(kinds).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    word = np.repeat(np.arange(len(kinds), dtype=np.int32), length)
+    node = np.cumsum(length + 1) - (length + 1)
+    char = np.arange(len(codes), dtype=np.int32)
+    ends = np.cumsum(length).astype(np.int32)[word]
+    h = np.zeros(len(codes), dtype=np.uint64)
+    found: list[tuple] = []
+    for n in range(1, lattice.longest + 1):
+        if n > 1:
+            on = on & (char + n <= ends[char])
+            char, h = char[on], h[on]
+        if not len(char):
+            break
+        h = _hash_on(h, codes[char + n - 1])
+        piece, on = look(h)
+        if n == 1:  # any one character can stand alone
+            alone = np.where(codes < 128, lattice.single[np.minimum(codes, 127)], -1 - codes.astype(np.int64))
+            piece = np.where(piece >= 0, piece, alone).astype(np.int32)
+            found.append((char, piece, n))
+        else:
+            hit = piece >= 0
+            found.append((char[hit], piece[hit], n))
+    per = np.zeros(len(codes), dtype=np.int32)
+    for chars, _, _ in found:
+        per[chars] += 1  # a character has one piece of a length at most
+    spot = np.cumsum(per, dtype=np.int32) - per
+    size = int(per.sum())
+    char, pieces, target = (np.empty(size, dtype=np.int32) for _ in range(3))
+    for chars, piece, n in reversed(found):
+        here = spot[chars]
+        spot[chars] += 1
+        char[here], pieces[here], target[here] = chars, piece, chars + word[chars] + n
+    source = char + word[char]
+    nodes = len(codes) + len(kinds)
+    edge_start = np.concatenate([[0], np.cumsum(np.bincount(source, minlength=nodes))]).astype(np.int32)
+    left = ends[char] - char
+    longest = int(length.max(initial=0))
+    by_left = np.argsort(left.astype(np.uint16) if longest < 1 << 16 else left, kind="stable")  # short keys sort by radix
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(left, minlength=longest + 1)[1:])])
+    log = lattice.logs(pieces)
+    mass = np.zeros(nodes)
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):  # from the words' ends to their starts
+        e = by_left[a:z]
+        own = source[e]
+        heads = np.flatnonzero(np.diff(own, prepend=-1))
+        mass[own[heads]] = np.logaddexp.reduceat(log[e] + mass[target[e]], heads)
+    # summed up node by node, so that a word's numbers don't depend on what else is in the block
+    cum = np.exp(log + mass[target] - mass[source])
+    degree, rank = np.diff(edge_start), 1
+    more = np.flatnonzero(degree > 1)
+    while len(more):
+        e = edge_start[more] + rank
+        cum[e] += cum[e - 1]
+        rank += 1
+        more = more[degree[more] > rank]
+    several = np.diff(edge_start) > 1
+    reach = np.concatenate([[0], np.cumsum(several)])
+    return Words(length, node, edge_start, pieces, target, cum, mass, mass[node], reach[node + length] == reach[node])
+
+
 class Block:
     """Texts whose words are drawn together."""
 
-    def __init__(self, lattice: Lattice, seeds: list[int], texts: list[list[str]]) -> None:
+    def __init__(self, lattice: Lattice, seeds: list[int], texts: list[list[str]] | pa.ListArray) -> None:
         self.lattice = lattice
-        self.counts = np.array([len(t) for t in texts], dtype=np.int64)
+        lists = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.list_(pa.string()))
+        self.counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.counts)[:-1]]).astype(np.int64)
         self.owner = np.repeat(np.arange(len(texts)), self.counts)
         self.seeds = np.array(seeds, dtype=np.uint64)
-        every = [w for t in texts for w in t]
-        number = dict.fromkeys(every)
-        number.update(zip(number, range(len(number)), strict=True))
-        self.kinds = [_SPACE + w for w in number]
-        self.kind = np.fromiter(map(number.__getitem__, every), dtype=np.int64, count=len(every))
-        self._connect()
+        every = lists.flatten().dictionary_encode()
+        number, words, self.names = lattice.connected(every.dictionary.to_pylist())
+        self.kind = number[every.indices.to_numpy()]
+        self.length, self.node, self.edge_start, self.piece, self.target, self.cum, self.mass, self.log_mass, self.only = words
         self.place = np.arange(len(every)) - self.starts[self.owner] if len(every) else np.zeros(0, dtype=np.int64)
 
-    def _connect(self) -> None:
-        """The words' lattices side by side: a node for each character and one behind each word; edges by node, longest
-        piece first, with their share of the node's mass; and every node's log mass."""
-        look = self.lattice.lookup
-        self.length = np.fromiter(map(len, self.kinds), dtype=np.int64, count=len(self.kinds))
-        codes = np.frombuffer("".join(self.kinds).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        word = np.repeat(np.arange(len(self.kinds), dtype=np.int32), self.length)
-        self.node = np.cumsum(self.length + 1) - (self.length + 1)
-        char = np.arange(len(codes), dtype=np.int32)
-        ends = np.cumsum(self.length).astype(np.int32)[word]
-        h = np.zeros(len(codes), dtype=np.uint64)
-        found: list[tuple] = []
-        for n in range(1, self.lattice.longest + 1):
-            if n > 1:
-                on = on & (char + n <= ends[char])
-                char, h = char[on], h[on]
-            if not len(char):
-                break
-            h = _hash_on(h, codes[char + n - 1])
-            piece, on = look(h)
-            if n == 1:  # any one character can stand alone
-                alone = np.where(codes < 128, self.lattice.single[np.minimum(codes, 127)], -1 - codes.astype(np.int64))
-                piece = np.where(piece >= 0, piece, alone).astype(np.int32)
-                found.append((char, piece, n))
-            else:
-                hit = piece >= 0
-                found.append((char[hit], piece[hit], n))
-        per = np.zeros(len(codes), dtype=np.int32)
-        for chars, _, _ in found:
-            per[chars] += 1  # a character has one piece of a length at most
-        spot = np.cumsum(per, dtype=np.int32) - per
-        size = int(per.sum())
-        char, self.piece, self.target = (np.empty(size, dtype=np.int32) for _ in range(3))
-        for chars, piece, n in reversed(found):
-            here = spot[chars]
-            spot[chars] += 1
-            char[here], self.piece[here], self.target[here] = chars, piece, chars + word[chars] + n
-        source = char + word[char]
-        nodes = len(codes) + len(self.kinds)
-        self.edge_start = np.concatenate([[0], np.cumsum(np.bincount(source, minlength=nodes))]).astype(np.int32)
-        left = ends[char] - char
-        longest = int(self.length.max(initial=0))
-        by_left = np.argsort(left.astype(np.uint16) if longest < 1 << 16 else left, kind="stable")  # short keys sort by radix
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(left, minlength=longest + 1)[1:])])
-        log = self._logs(self.piece)
-        mass = np.zeros(nodes)
-        for a, z in zip(cuts[:-1], cuts[1:], strict=True):  # from the words' ends to their starts
-            e = by_left[a:z]
-            own = source[e]
-            heads = np.flatnonzero(np.diff(own, prepend=-1))
-            mass[own[heads]] = np.logaddexp.reduceat(log[e] + mass[self.target[e]], heads)
-        self.mass, self.log_mass = mass, mass[self.node]
-        # summed up node by node, so that a word's numbers don't depend on what else is in the block
-        self.cum = np.exp(log + mass[self.target] - mass[source])
-        degree, rank = np.diff(self.edge_start), 1
-        more = np.flatnonzero(degree > 1)
-        while len(more):
-            e = self.edge_start[more] + rank
-            self.cum[e] += self.cum[e - 1]
-            rank += 1
-            more = more[degree[more] > rank]
-        several = np.diff(self.edge_start) > 1
-        reach = np.concatenate([[0], np.cumsum(several)])
-        self.only = reach[self.node + self.length] == reach[self.node]
-
     def draw(self, which: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log-probability by word of `which`, then its pieces: word and piece, in order) of a fresh path each."""
         kind = self.kind[which]
@@ -276,7 +349,7 @@ class Block:
                 e = edge[more]
                 more = more[(u[more] > self.cum[e]) & (e + 1 < self.edge_start[node[more] + 1])]
             piece = self.piece[edge]
-            logs[active] += self._logs(piece)
+            logs[active] += self.lattice.logs(piece)
             words.append(active), pieces.append(piece)
             node = self.target[edge]
             on = node < last[active]
@@ -323,9 +396,6 @@ class Block:
                     todo.append(([*path, int(self.piece[e])], self.target[e], here, on))
         return out
 
-    def _logs(self, pieces: np.ndarray) -> np.ndarray:
-        return self.lattice.log_weight.take(pieces, mode="clip")  # what is no piece weighs as the unknown one, the first
-
     def _log_of(self, piece: int) -> float:
         return float(self.lattice.log_weight[piece]) if piece >= 0 else _UNKNOWN
 
@@ -459,17 +529,9 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, alpha: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice.of(model_path, alpha)
-        for b in batches:
-            held: list[tuple] = []
-            size = 0
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = lattice.words(text or "")
-                held.append((doc_id, zlib.crc32((text or "").encode("utf-8", "replace")), words))
-                size += len(words)
-                if size >= _BLOCK_WORDS:
-                    yield _rows(lattice, held, k, with_ids)
-                    held, size = [], 0
-            yield _rows(lattice, held, k, with_ids)
+        for doc_ids, texts in _blocks(batches, _BLOCK_WORDS):
+            raw = [t.encode("utf-8", "replace") for t in texts.to_pylist()]
+            yield _rows(_block(lattice, doc_ids, texts, raw), doc_ids, k, with_ids)
 
     kind = f"{id_col} long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, kind)
@@ -484,59 +546,67 @@ def tokenised(docs: DataFrame, model_path: str, k: int = 2, alpha: float = 1.0,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice.of(model_path, alpha)
-        for b in batches:
-            held: list[tuple] = []
-            size = 0
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                text = text or ""
-                held.append((doc_id, zlib.crc32(text.encode("utf-8", "replace")), lattice.words(text), text))
-                size += len(held[-1][2])
-                if size >= _CHECKED_WORDS:
-                    yield _checked(lattice, model_path, held, k)
-                    held, size = [], 0
-            yield _checked(lattice, model_path, held, k)
+        for doc_ids, texts in _blocks(batches, _CHECKED_WORDS):
+            yield _checked(lattice, model_path, doc_ids, texts, k)
 
     kind = f"{id_col} long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_crc32 long, ids array<int>, decoded boolean"
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, kind)
 
 
-def _encoded(model, texts: list[str]) -> list[np.ndarray]:
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[int | None], pa.Array]]:
+    """Ids and texts, null as empty, in blocks: as many texts of a batch as it takes to reach so many words."""
+    for b in batches:
+        texts = b.column(1).fill_null("")
+        size = np.cumsum(pc.add(pc.add(pc.count_substring(texts, " "), pc.count_substring(texts, _SPACE)), 1).to_numpy().astype(np.int64))
+        a = 0
+        while a < len(texts):
+            z = min(int(size.searchsorted((size[a - 1] if a else 0) + most)) + 1, len(texts))
+            yield b.column(0)[a:z].to_pylist(), texts[a:z]
+            a = z
+
+
+def _block(lattice: Lattice, doc_ids: list[int | None], texts: pa.Array, raw: list[bytes]) -> Block:
+    return Block(lattice, [((0 if i is None else i) * _GOLDEN + zlib.crc32(r)) % (1 << 64) for i, r in zip(doc_ids, raw, strict=True)], lattice.split(texts))
+
+
+def _encoded(model, block: Block, texts: pa.Array) -> list[np.ndarray]:
     """The ids of every whole text. As no piece crosses the start of a word, each distinct word is encoded once; texts with
     other white space marks than single spaces between words are encoded as they are."""
-    plain = [bool(t) and not ("  " in t or _SPACE in t or t[0] == " " or t[-1] == " ") for t in texts]
-    split = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
-    number = dict.fromkeys(w for words in split for w in words)
-    number.update(zip(number, range(len(number)), strict=True))
-    ids = model.encode(list(number)) if number else []
-    n = np.array([len(x) for x in ids], dtype=np.int64)
-    flat, start = np.array([i for x in ids for i in x], dtype=np.int32), np.cumsum(n) - n
-    out = []
-    for text, p, words in zip(texts, plain, split, strict=True):
-        if p:
-            kind = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
-            m = n[kind]
-            out.append(flat[np.repeat(start[kind] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))])
-        else:
-            out.append(np.array(model.encode(text), dtype=np.int32))
+    lattice, known = block.lattice, len(block.length) - len(block.names)
+    n, flat = lattice.kept_ids[0][:known], lattice.kept_ids[1]
+    flat = flat[: int(n.sum())]
+    new = [*islice(lattice.kept, len(n), known), *block.names]
+    ids = model.encode(new) if new else []
+    n = np.concatenate([n, np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))])
+    flat = np.concatenate([flat, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(n[len(n) - len(ids) :].sum()))])
+    kept = len(n) if lattice.kept_words.length is block.length else known
+    lattice.kept_ids = n[:kept], flat[: int(n[:kept].sum())]
+    m = n[block.kind]
+    every = flat[np.repeat((np.cumsum(n) - n)[block.kind] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
+    ends = np.concatenate([[0], np.cumsum(m)])[np.concatenate([[0], np.cumsum(block.counts)])].tolist()
+    out = [every[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
+    for d in np.flatnonzero(~_plain(texts)).tolist():
+        out[d] = np.array(model.encode(texts[d].as_py()), dtype=np.int32)
     return out
 
 
-def _checked(lattice: Lattice, model_path: str, held: list[tuple], k: int) -> pa.RecordBatch:
+def _checked(lattice: Lattice, model_path: str, doc_ids: list[int | None], column: pa.Array, k: int) -> pa.RecordBatch:
     """The rows of _rows() and those of encode(), with what decoding says."""
-    drawn = _rows(lattice, [x[:3] for x in held], k, True)
-    own = _encoded(_processor(model_path), [t for *_, t in held])
+    texts = column.to_pylist()
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    block = _block(lattice, doc_ids, column, raw)
+    own = _encoded(_processor(model_path), block, column)
+    drawn = _rows(block, doc_ids, k, True)
     n = len(own)
     every = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32))
     ids = pa.ListArray.from_arrays(every, pa.array(np.concatenate(own) if own else np.zeros(0, dtype=np.int32)))
     nothing = pa.nulls(n, pa.float64())
     crcs = [zlib.crc32(x.astype("<u4")) for x in own]
-    first = [pa.array([x[0] for x in held], pa.int64()), pa.array([0] * n, pa.int32()), pa.array([len(x) for x in own], pa.int64()), nothing, nothing, nothing, pa.array(crcs, pa.int64()), ids]
+    first = [pa.array(doc_ids, pa.int64()), pa.array([0] * n, pa.int32()), pa.array([len(x) for x in own], pa.int64()), nothing, nothing, nothing, pa.array(crcs, pa.int64()), ids]
     at = np.cumsum(drawn.column(1).to_numpy() == 1) - 1  # each text's rows begin with sample 1
-    owner = np.concatenate([np.arange(n), at]).astype(np.int64)
+    owner = np.concatenate([np.arange(n), at]).astype(np.int64).tolist()
     cols = [pa.concat_arrays([a, b]) for a, b in zip(first, drawn.columns, strict=True)]
-    flat, cuts = cols[7].values.to_numpy(), cols[7].offsets.to_numpy()
-    texts = [t for *_, t in held]
-    same = [lattice.text(flat[a:z].tolist()) == texts[d] for d, a, z in zip(owner.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    same = lattice.same(cols[7].values, cols[7].offsets.to_numpy(), [texts[d] for d in owner], [raw[d] for d in owner])
     return pa.RecordBatch.from_arrays([*cols, pa.array(same, pa.bool_())], names=[*_NAMES, "decoded"])
 
 
@@ -544,11 +614,10 @@ _TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.flo
 _NAMES = ["id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_crc32", "ids"]
 
 
-def _rows(lattice: Lattice, held: list[tuple], k: int, with_ids: bool) -> pa.RecordBatch:
-    block = Block(lattice, [((0 if i is None else i) * _GOLDEN + crc) % (1 << 64) for i, crc, _ in held], [w for _, _, w in held])
+def _rows(block: Block, doc_ids: list[int | None], k: int, with_ids: bool) -> pa.RecordBatch:
     rows = []
-    for d, ((doc_id, _, words), found) in enumerate(zip(held, block.sample(k), strict=True)):
-        if not words:
+    for d, (doc_id, found) in enumerate(zip(doc_ids, block.sample(k), strict=True)):
+        if not block.counts[d]:
             rows.append((doc_id, 1, 0, 0.0, 0.0, 1.0, 0, [] if with_ids else None))
         threshold = found[-1][1] if found and found[-1][2] < 0 else -np.inf
         for i, (log, value, layer) in enumerate(x for x in found if x[2] >= 0):
